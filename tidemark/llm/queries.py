@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding
+from . import bpe, media, mixing, secrets, sharding
 
 QUERIES = {
     "op5_bpe_codec": bpe.query,
+    "op6_wav_fingerprints": media.query,
+    "op7_secret_scan": secrets.query,
     "op9_byte_shards": sharding.query,
     "op10_source_mix": mixing.query,
 }
