@@ -73,3 +73,143 @@ def statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+
+
+#: Share of the rows whose covariance has the least determinant; concentration steps after the start.
+COVERAGE = 0.75
+STEPS = 3
+#: Rows under which a language and source has no estimate of its own.
+LEAST_ROWS = 100
+#: Least standard deviation of each coordinate: closer texts are not told apart, and a constant coordinate does not make the scatter singular.
+FLOOR = (0.25, 0.04, 0.3, 0.7, 1.0)
+#: Chance that a normal vector is rejected. Statistics of texts have longer tails than that, hence so low.
+TAIL = 1e-9
+#: Bins in a unit of a coordinate or a logarithmic distance.
+BINS = 64
+D = len(FLOOR)
+
+
+def chi_square_cdf(x: float, d: int) -> float:
+    """Probability that a chi-square variable with ``d`` degrees of freedom is at most ``x``."""
+    import math
+
+    term = total = 1.0 / (d / 2)
+    for k in range(1, 2000):
+        term *= (x / 2) / (d / 2 + k)
+        total += term
+        if term < 1e-17 * total:
+            break
+    return min(1.0, total * math.exp(-x / 2 + d / 2 * math.log(x / 2) - math.lgamma(d / 2))) if x > 0 else 0.0
+
+
+def chi_square_quantile(p: float, d: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_cdf(middle, d) < p else (low, middle)
+    return high
+
+
+#: The covariance of the nearest share of normal rows is smaller than that of all by this factor.
+CONSISTENCY = COVERAGE / chi_square_cdf(chi_square_quantile(COVERAGE, D), D + 2)
+CUTOFF = chi_square_quantile(1 - TAIL, D)
+
+
+def vector() -> list[Column]:
+    words_, chars = F.col("n_words") + 1.0, F.col("word_chars") + 1.0
+    return [
+        F.log(words_),
+        F.log(chars / words_),
+        F.log1p(100 * F.col("n_symbols") / chars),
+        F.log1p(100 * F.col("n_dup_lines") / words_),
+        F.log1p(100 * F.col("n_repeat_words") / words_),
+    ]
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """__l, __s and the name of the cell of every language and source; null where even all small ones together are too few."""
+    n = F.col("__n")
+    counts = rows.where("NOT __failed").groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("__n"))
+    small = counts.where(n < LEAST_ROWS)
+    by_lang = small.groupBy("__lang").agg(F.sum(n).alias("__of_lang")).withColumnRenamed("__lang", "__l2")
+    rest = by_lang.where(F.col("__of_lang") < LEAST_ROWS).agg(F.sum("__of_lang").alias("__of_all"))  # one row
+    level = F.when(n >= LEAST_ROWS, 0).when(F.col("__of_lang") >= LEAST_ROWS, 1).when(F.col("__of_all") >= LEAST_ROWS, 2)
+    name = F.to_json(F.struct(level.alias("level"), F.when(level < 2, F.col("__lang")).alias("lang"), F.when(level < 1, F.col("__source")).alias("source")))
+    met = counts.join(by_lang, F.col("__lang").eqNullSafe(F.col("__l2")), "left").crossJoin(F.broadcast(rest))
+    return met.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), F.when(level.isNotNull(), name).alias("__cell"))
+
+
+def _with(rows: DataFrame, by_cell: DataFrame) -> DataFrame:
+    return rows.join(by_cell.withColumnRenamed("__cell", "__of"), F.col("__cell") == F.col("__of"))
+
+
+def _concentrated(near: DataFrame) -> DataFrame:
+    """Mean (m0, ...) and inverse Cholesky factor (i00, i10, ...) of the rows of each cell that are among its nearest by ``__d``."""
+    bin_ = F.floor(BINS * F.log1p("__d"))
+    limit = near.groupBy("__cell").agg(F.percentile(bin_, COVERAGE).alias("__limit"))
+    inside = _with(near, limit).where(bin_ <= F.col("__limit"))
+    x = [F.col(f"__x{i}") for i in range(D)]
+    sums = [F.avg(x[i]).alias(f"m{i}") for i in range(D)]
+    # centred on the cell's medians, so that squares do not swamp the variance
+    y = [F.col(f"__x{i}") - F.col(f"__med{i}") for i in range(D)]
+    sums += [F.avg(y[i]).alias(f"y{i}") for i in range(D)]
+    sums += [F.avg(y[i] * y[j]).alias(f"p{i}{j}") for i in range(D) for j in range(i + 1)]
+    found = inside.groupBy("__cell").agg(*sums)
+    for i in range(D):
+        for j in range(i + 1):
+            spread = CONSISTENCY * (F.col(f"p{i}{j}") - F.col(f"y{i}") * F.col(f"y{j}")) + (FLOOR[i] ** 2 if i == j else 0.0)
+            known = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+            found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(spread - known, F.lit(FLOOR[i] ** 2))) if i == j else (spread - known) / F.col(f"l{j}{j}"))
+    for i in range(D):
+        for j in range(i + 1):
+            known = sum((F.col(f"l{i}{k}") * F.col(f"i{k}{j}") for k in range(j, i)), F.lit(0.0))
+            found = found.withColumn(f"i{i}{j}", 1 / F.col(f"l{i}{i}") if i == j else -known / F.col(f"l{i}{i}"))
+    return cut(found.select("__cell", *[f"m{i}" for i in range(D)], *[f"i{i}{j}" for i in range(D) for j in range(i + 1)]), "scatter")
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance from the estimate that the row has been joined with."""
+    z = [sum((F.col(f"i{i}{j}") * (F.col(f"__x{j}") - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(D)]
+    return sum((v * v for v in z), F.lit(0.0))
+
+
+def judge(stats: DataFrame, lang: str, source: str) -> DataFrame:
+    """A row for each of ``stats`` (as ``statistics`` gives it), with base_failed and kept added."""
+    columns = stats.columns
+    rows = cut(
+        stats.select("*", F.col(lang).alias("__lang"), F.col(source).alias("__source"), base_failed().alias("__failed"), *[v.alias(f"__x{i}") for i, v in enumerate(vector())]),
+        "statistics",
+    )
+    cells = cut(_cells(rows), "cells")
+    of_row = F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s"))
+    measured = rows.where("NOT __failed").join(cells.where("__cell IS NOT NULL"), of_row).select("__cell", *[f"__x{i}" for i in range(D)])
+    quartiles = measured.groupBy("__cell").agg(*[F.percentile(F.floor(BINS * F.col(f"__x{i}")), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(D)])
+    start = cut(
+        quartiles.select(
+            "__cell",
+            *[(F.col(f"q{i}")[1] / BINS).alias(f"__med{i}") for i in range(D)],
+            *[F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / BINS / 1.349, F.lit(FLOOR[i])).alias(f"__iqr{i}") for i in range(D)],
+        ),
+        "medians",
+    )
+    centred = cut(_with(measured, start).select("__cell", *[c for c in measured.columns if c != "__cell"], *[c for c in start.columns if c != "__cell"]), "centred")
+    first = sum((F.pow((F.col(f"__x{i}") - F.col(f"__med{i}")) / F.col(f"__iqr{i}"), 2) for i in range(D)), F.lit(0.0))
+    scatter = _concentrated(centred.withColumn("__d", first))
+    for _ in range(STEPS):
+        scatter = _concentrated(_with(centred, scatter).select(*centred.columns, _distance().alias("__d")))
+    estimates = cells.join(scatter.withColumnRenamed("__cell", "__of"), F.col("__cell") == F.col("__of"), "left").drop("__cell", "__of")
+    met = rows.join(estimates, of_row, "left")
+    far = F.coalesce(_distance() > CUTOFF, F.lit(False))
+    return met.select(*[rows[f"`{c}`"] for c in columns], F.col("__failed").alias("base_failed"), (~F.col("__failed") & ~far).alias("kept"))
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    stats = statistics(table(spark, sf_dir, "documents"))
+    return judge(stats, "lang", "source").drop("lang", "source")
+
+
+def keep(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows of ``df`` that pass, columns unchanged."""
+    packed = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("doc"), df[text].alias("its_text"), df[lang].alias("its_lang"), df[source].alias("its_source"))
+    judged = judge(statistics(packed, "its_text", ("doc", "its_lang", "its_source")), "its_lang", "its_source")
+    return judged.where("kept").select("doc.*")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, secrets, sharding
+from . import bpe, media, mixing, quality_rules, secrets, sharding
 
 QUERIES = {
     "op5_bpe_codec": bpe.query,
     "op6_wav_fingerprints": media.query,
     "op7_secret_scan": secrets.query,
+    "op8_robust_outliers": quality_rules.query,
     "op9_byte_shards": sharding.query,
     "op10_source_mix": mixing.query,
 }
