@@ -6,7 +6,9 @@ not white space and the right one is ASCII white space, the pattern that splits
 before the merges cuts there too, whatever surrounds it. Texts fall into fragments at
 these cuts; every distinct fragment is encoded alone, once for each worker's cache,
 and the ids of a text are its fragments' ids in a row. A text of any length is handled
-a fragment at a time.
+a fragment at a time. New fragments that begin with a space and end without one are
+encoded in one string, as the cuts between them are certain again, and told apart by the
+lengths of their tokens.
 
 Defined cases: null text encodes as the empty text (no ids, empty decoded text); the
 strings of special tokens are single ids, as in the library; bytes that are not UTF-8
@@ -20,12 +22,15 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
+#: Fixed value: the pattern by which byte-level BPE splits text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACES = b"\t\n\x0b\x0c\r "
 #: Last bytes of the characters above ASCII that count as white space, each with what precedes it.
 WIDE_SPACES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
@@ -45,12 +50,7 @@ class ForcedBoundaryBPE:
     """Encoder and decoder for a tokenizers file (its JSON text) with a byte-level BPE model."""
 
     def __init__(self, tokenizer_json: str) -> None:
-        from tokenizers import Tokenizer
-
         spec = json.loads(tokenizer_json)
-        self.library = Tokenizer.from_str(tokenizer_json)
-        self.library.no_truncation()
-        self.library.no_padding()
         symbol = byte_of_symbol()
         self.special = {t["content"].encode(): t["id"] for t in spec.get("added_tokens", [])}
         special_ids = {*self.special.values()}
@@ -66,20 +66,53 @@ class ForcedBoundaryBPE:
             self.token[i] = raw
         #: certain[a][b]: no token holds byte a followed by byte b.
         self.certain = [[(a, b) not in inside for b in range(256)] for a in range(256)]
+        self.sure_end = [all(row[s] for s in SPACES) for row in self.certain]
+        self.length = np.array([len(t) for t in self.token])
         self.fragments = re.compile(self._pattern())
+        self.model = self._model(spec, tokenizer_json)
         self.specials = re.compile(b"|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.cache: dict[bytes, bytes] = {}
 
     def _pattern(self) -> bytes:
         """Fragments: white space, then a run without it, then on over every white space before which no cut is certain."""
-        unsure = [b for b in range(256) if b not in SPACES and not all(self.certain[b][s] for s in SPACES)]
+        unsure = [b for b in range(256) if b not in SPACES and not self.sure_end[b]]
         held = WIDE_SPACES + ([b"[" + b"".join(re.escape(bytes([b])) for b in unsure) + b"]"] if unsure else [])
         behind = b"|".join(b"(?<=" + h + b")" for h in held)
         return rb"[\t-\r ]*[^\t-\r ]+(?:(?:" + behind + rb")[\t-\r ]+[^\t-\r ]*)*|[\t-\r ]+"
 
+    def _model(self, spec: dict, tokenizer_json: str):
+        """A function from a text without special tokens to its ids as an array."""
+        vocab, plain = spec["model"]["vocab"], {t: i for i, t in enumerate(self.token) if t and t not in self.special}
+        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        if merged == sorted(merged) and len(plain) == 256 + len(merged):  # a token's id is also its merge's rank
+            import tiktoken
+
+            ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
+            return lambda text: ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(tokenizer_json)
+        library.no_truncation()
+        library.no_padding()
+        return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        encoded = self.library.encode_batch([f.decode("utf-8", "replace") for f in new], add_special_tokens=False)
-        return {f: struct.pack(f"<{len(e.ids)}I", *e.ids) for f, e in zip(new, encoded, strict=True)}
+        found, joint = {}, []
+        for f in new:
+            if f[0] == 32 and f[-1] not in SPACES and self.sure_end[f[-1]] and f.isascii():
+                joint.append(f)
+            elif f in self.special:
+                found[f] = struct.pack("<I", self.special[f])
+            else:
+                found[f] = self.model(f.decode("utf-8", "replace")).tobytes()
+        if joint:
+            ids = self.model(b"".join(joint).decode())
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(f) for f in joint])) + 1
+            raw, at = ids.tobytes(), 0
+            for f, end in zip(joint, ends.tolist(), strict=True):
+                found[f] = raw[4 * at : 4 * end]
+                at = end
+        return found
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -134,7 +167,7 @@ def _codec(tokenizer_json: str) -> ForcedBoundaryBPE:
 STEP_ROWS, STEP_BYTES = 512, 4 << 20
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+def slices(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Start and values (null: empty) of short runs of a binary column, bounded in rows and bytes."""
     rows: list[bytes] = []
     start = held = 0
@@ -142,7 +175,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         raw = v.as_py() or b""
         rows.append(raw)
         held += len(raw)
-        if len(rows) >= STEP_ROWS or held >= STEP_BYTES:
+        if len(rows) >= STEP_ROWS or held >= most:
             yield start, rows
             rows, held, start = [], 0, i + 1
     if rows:
