@@ -231,8 +231,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of(names: list[str]) -> Column:
+    return F.filter("spans", lambda s: s["kind"].isin(names))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
-    base = F.filter("spans", lambda s: s["kind"].isin([r.name for r in BASE]))
-    counts = [F.size(F.filter("spans", lambda s, n=r.name: s["kind"] == n)).cast("long").alias(f"n_{r.name}") for r in BASE]
-    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    kinds = [r.name for r in BASE]
+    counts = [F.size(_of([k])).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_joined(_of(kinds)).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
