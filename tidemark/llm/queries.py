@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing, quality_rules, secrets, sharding
+from . import bpe, langid, media, mixing, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op4_language_spans": langid.query,
     "op5_bpe_codec": bpe.query,
     "op6_wav_fingerprints": media.query,
     "op7_secret_scan": secrets.query,
