@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, langid, media, mixing, quality_rules, secrets, sharding
+from . import bpe, classifier, dedup, langid, media, mixing, quality_rules, secrets, sharding
 
 QUERIES = {
     "op1_site_classifier": classifier.query,
+    "op3_sketch_dedup": dedup.query,
     "op4_language_spans": langid.query,
     "op5_bpe_codec": bpe.query,
     "op6_wav_fingerprints": media.query,
