@@ -209,13 +209,14 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "de
     return out.withColumn(text, out[text].cast("string"))
 
 
-def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row's whole text."""
-    ids = encode(df.select("doc_id", "text"), tokenizer_path).select("doc_id", "ids")
+def digests(df: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, n_tokens, ids, ids_sha256 and decoded_sha256 of every row's whole text."""
+    ids = encode(df.select(*keep, "text"), tokenizer_path).select(*keep, "ids")
     both = decode(ids, tokenizer_path)
     return both.select(
-        "doc_id",
+        *keep,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
         F.sha2(both["ids"], 256).alias("ids_sha256"),
         F.sha2(both["decoded"].cast("binary"), 256).alias("decoded_sha256"),
     )
@@ -224,4 +225,4 @@ def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, dedup, langid, media, mixing, quality_rules, secrets, sharding
+from . import bpe, classifier, dedup, langid, media, mixing, quality_rules, secrets, sharding, warc
 
 QUERIES = {
     "op1_site_classifier": classifier.query,
+    "op2_warc_index": warc.query,
     "op3_sketch_dedup": dedup.query,
     "op4_language_spans": langid.query,
     "op5_bpe_codec": bpe.query,
@@ -16,4 +17,6 @@ QUERIES = {
     "op10_source_mix": mixing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc_index": warc.ORACLE,
+}

@@ -42,19 +42,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
-
-
-ORACLE = """
-WITH d AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, coalesce(text, '') AS t FROM documents
-), r AS (
-  SELECT doc_id, size, t,
-         row_number() OVER w - 1 AS i, sum(size) OVER w - size AS before, sum(size) OVER () AS total
-  FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, t ROWS UNBOUNDED PRECEDING)
-), s AS (
-  SELECT *, least(23, ((2 * before + size) * 24) // (2 * total))::INTEGER AS shard FROM r
-)
-SELECT doc_id, size, 'bytes' AS law, shard, CAST(i - min(i) OVER (PARTITION BY shard) AS BIGINT) AS slot,
-       CAST(NULL AS INTEGER) AS grown_shard, 0::BIGINT AS text_crc32
-FROM s
-"""
