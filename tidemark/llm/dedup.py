@@ -8,16 +8,17 @@ at least ``least_shared`` values of their sketches in common but for a chance of
 nodes retain a value, rarest first: only these go to the inverted lists, and passages
 that many texts hold go there only with texts that consist of little else.
 
-1. Each inverted list's first node (its pivot) is paired with the others. Pairs pass if
+1. One node of each inverted list (its pivot, the one that has most of its retained values
+   in common with others, as the source of many copies has) is paired with the others. Pairs pass if
    the sketch of their union has enough values of both, and are links if the exact
    Jaccard similarity of the full sets says so. Connected nodes get one label.
 2. Nodes of different labels that share a pivot may still be linked. Up to ``SMALL``
-   nodes of a pivot are paired. Beyond, with X the symmetric difference of x and the
-   pivot p, x and y are alike only if X and Y overlap enough, as the difference of x and
-   y is that of X and Y. That overlap is over zero if one of them is not linked to p, so
-   prefixes of X and Y in the order of rarity have a value in common, which another
-   inverted list over (p, value) finds; near copies of one text differ from it in
-   different places, and few of them meet there.
+   nodes of a pivot are paired. Beyond, with X the symmetric difference of x and a
+   reference set p, x and y are alike only if X and Y overlap enough, as the difference
+   of x and y is that of X and Y. That overlap is over zero unless both are close to p, so
+   prefixes of X and Y in one order have a value in common, which another inverted list
+   over (p, value) finds; near copies of one text differ from it in different places, and
+   few of them meet there.
 3. These pairs pass the same filter and the same exact check; labels are joined up.
 
 Nothing is dropped or capped: the lists are exact but for the chance that the sketches
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, table
+from .common import cut, small_batches, table
 from .hashing import mix, shingles
 
 SKETCH = 64
@@ -48,7 +49,7 @@ SIMILAR = 0.8
 MISSED = 2e-10
 #: Nodes of a pivot up to which they are paired one by one.
 SMALL = 48
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def least_shared(k: int, similar: float = SIMILAR, missed: float = MISSED) -> int:
@@ -70,13 +71,23 @@ def _identity(values: np.ndarray) -> tuple[int, int]:
     return int(mix(h).sum(dtype=np.uint64).astype(np.int64)), int(mix(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(len(h))).sum(dtype=np.uint64).astype(np.int64))
 
 
+#: Bits of a set's signature, in words of 64.
+BITS = 1024
+
+
+def _parities(values: np.ndarray) -> list[int]:
+    """For each of ``BITS`` bits, whether an odd number of values falls on it. Two sets' signatures differ in no more bits than the sets in values."""
+    odd = np.bincount(values % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def with_sets(df: DataFrame, text: str, words: int, what: str) -> DataFrame:
-    """The columns of ``df`` with __a and __b (the set's identity), __n (its size) and, as ``what`` says, __set or __sketch of it.
+    """The columns of ``df`` with __a and __b (the set's identity), __n (its size) and, as ``what`` says, __sketch, or __set and its __bits.
 
     ``text`` goes unless ``what`` is "text"."""
     names = [c for c in df.columns if what == "text" or c != text]
     most = {"sketch": SKETCH, "set": None}.get(what, 0)
-    added = ["__a", "__b", "__n"] + ([f"__{what}"] if what in ("sketch", "set") else [])
+    added = ["__a", "__b", "__n"] + {"sketch": ["__sketch"], "set": ["__set", "__bits"]}.get(what, [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,12 +97,14 @@ def with_sets(df: DataFrame, text: str, words: int, what: str) -> DataFrame:
                 columns = [*batch.slice(start, len(texts)).columns[: len(names)], pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
                 if len(added) > 3:
                     columns.append(pa.array([s[:most] for s in sets], pa.list_(pa.int64())))
+                if what == "set":
+                    columns.append(pa.array([_parities(s) for s in sets], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     chosen = df.select(*[df[f"`{c}`"] for c in names], df[text].cast("binary").alias("__source"))
     zero = F.lit(0).cast("long")
     like = [zero.alias(c) for c in added[:3]] + [F.array().cast("array<bigint>").alias(c) for c in added[3:]]
-    return chosen.mapInArrow(run, df.select(*[f"`{c}`" for c in names], *like).schema)
+    return small_batches(chosen).mapInArrow(run, df.select(*[f"`{c}`" for c in names], *like).schema)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,28 +161,43 @@ def _small_pairs(group: DataFrame) -> DataFrame:
 def _large_pairs(group: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different labels whose differences from the pivot may overlap enough; see the module's text.
 
-    With a and b the sizes of X and Y, a <= b, and sizes nx and ny within a factor of
-    1.25, linked x and y share at least (a + b - (nx + ny) / 9) / 2 values of X and Y:
-    over a - nx / 8 as seen from x, over (b - ny / 4) / 2 as seen from y.
+    The reference p is what half of the pivot's nodes have of the pivot. With a and b
+    the sizes of X and Y, a <= b, and sizes nx and ny within a factor of 1.25, linked x
+    and y share c >= (a + b - (nx + ny) / 9) / 2 values of X and Y. Where that is not
+    over zero the two are linked for certain. The node with the greatest n - 9 a, r, is
+    paired with all others; any two nodes that aren't both linked to it for certain have
+    c over zero. As seen from x, c is at least a - nx / 8 and (a + (r - 1.25 nx) / 9) / 2,
+    as seen from y, as a >= c, b - ny / 4. Of the values from their first common one on, both
+    must have c, and neither b - a nor the bits in which their signatures differ can be
+    over (nx + ny) / 9. The join itself asks for all of this.
     """
-    own = sets.select(F.col("node").alias("node"), F.col("set").alias("own"))
+    own = sets.select("node", F.col("set").alias("own"), "bits")
     hub = sets.select(F.col("node").alias("pivot"), F.col("set").alias("hub"))
-    apart = group.join(own, "node").join(hub, "pivot").select("pivot", "node", "n", "label", F.array_union(F.array_except("own", "hub"), F.array_except("hub", "own")).alias("diff"))
-    apart = cut(apart, "apart")
-    tokens = apart.select("pivot", "node", F.explode("diff").alias("v"))
-    seen = tokens.groupBy("pivot", "v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    held = tokens.join(seen, ["pivot", "v"]).groupBy("pivot", "node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("often"))
-    sized = apart.select("pivot", "node", "n", "label", F.size("diff").alias("d")).join(held, ["pivot", "node"])
-    alone = "(d - size(often))"
-    short = f"least(d, CAST(floor(n / 8) AS int) + 1) - {alone}"
-    long = f"d - greatest(1, CAST(ceil((d - n / 4) / 2) AS int)) + 1 - {alone}"
-    prefix = sized.select("pivot", "node", "n", "label", "d", F.expr(f"slice(often, 1, greatest(0, {long}))").alias("far"), F.expr(f"greatest(0, {short})").alias("near"))
-    prefix = prefix.select("pivot", "node", "n", "label", "d", "near", F.posexplode("far").alias("at", "t")).withColumn("v", F.col("t.v"))
-    prefix = cut(prefix.drop("t"), "prefix")
-    x = prefix.where("at < near").select("pivot", "v", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("d").alias("dx"))
-    y = prefix.select("pivot", "v", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("d").alias("dy"))
-    met = x.join(y, ["pivot", "v"]).where("lx != ly AND (dx < dy OR (dx = dy AND x < y)) AND 100 * least(nx, ny) >= 80 * greatest(nx, ny)")
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    held = group.join(own, "node").join(hub, "pivot")
+    common = held.select("pivot", "many", F.explode(F.array_intersect("own", "hub")).alias("v"))
+    counts = common.groupBy("pivot", "v", "many").agg(F.count(F.lit(1)).alias("n")).where("2 * n >= many")
+    middle = cut(counts.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))).alias("mid")).select("pivot", F.col("mid.v").alias("mid")), "middle")  # as long as the pivot's set at most
+    met = group.join(own, "node").join(middle, "pivot", "left").withColumn("mid", F.coalesce("mid", F.array().cast("array<bigint>")))
+    # one order for all nodes of a pivot: what they add, mostly theirs alone, then what they lack, first what few lack
+    apart = met.withColumn("diff", F.concat(F.array_sort(F.array_except("own", "mid")), F.array_except("mid", "own")))
+    sized = cut(apart.select("pivot", "node", "n", "label", "bits", F.size("diff").alias("d"), "diff"), "apart")
+    best = sized.groupBy("pivot").agg(F.min_by("node", F.struct(9 * F.col("d") - F.col("n"), "node")).alias("best"), F.max(F.col("n") - 9 * F.col("d")).alias("r"))
+    best = cut(best, "best")
+    sure = sized.select("pivot", "node").join(best, "pivot").where("node != best").select(F.least("node", "best").alias("x"), F.greatest("node", "best").alias("y"))
+    least_near = "greatest(1, CAST(ceil(greatest(d - n / 8, (d + (r - 1.25 * n) / 9) / 2) - 1e-9) AS int))"
+    least_far = "greatest(1, CAST(ceil(d - n / 4 - 1e-9) AS int))"
+    n_parts = int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = sized.join(best, "pivot").repartition(n_parts, "pivot", "node")  # a hot pivot's nodes go to all tasks
+    prefix = even.selectExpr("pivot", "node", "n", "label", "bits", "d", f"d - {least_near} + 1 AS near", f"slice(diff, 1, greatest(0, d - {least_far} + 1)) AS far")
+    prefix = cut(prefix.select("pivot", "node", "n", "label", "bits", "d", "near", F.posexplode("far").alias("at", "v")), "prefix")
+    side = lambda rows, c: rows.select("pivot", "v", F.col("node").alias(c), *[F.col(x).alias(x + c) for x in ("n", "label", "bits", "d", "at")])
+    met = side(prefix.where("at < near"), "x").join(side(prefix, "y"), ["pivot", "v"])
+    differ = " + ".join(f"bit_count(bitsx[{i}] ^ bitsy[{i}])" for i in range(BITS // 64))
+    met = met.where(
+        f"""labelx != labely AND (dx < dy OR (dx = dy AND x < y)) AND 100 * least(nx, ny) >= 80 * greatest(nx, ny)
+        AND 18 * least(dx - atx, dy - aty) >= 9 * (dx + dy) - (nx + ny) AND 9 * (dy - dx) <= nx + ny AND 9 * ({differ}) <= nx + ny"""
+    )
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(sure).distinct()
 
 
 def link(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -185,16 +213,16 @@ def link(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "tex
     held = retained.join(often, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("often"))
     held = held.join(nodes.select("node", F.least(F.col("n"), F.lit(SKETCH)).cast("int").alias("s")), "node")
     first = F.expr(f"slice(often, 1, greatest(0, s - {_enough('s', SKETCH)} + 1 - (s - size(often))))")
-    lists = cut(held.select("node", F.explode(first).alias("t")).select(F.col("t.v").alias("v"), "node"), "lists")
+    lists = cut(held.select("node", F.size("often").alias("common"), F.explode(first).alias("t")).select(F.col("t.v").alias("v"), "node", "common"), "lists")
 
-    # each list's pivot with the others
-    pivots = lists.groupBy("v").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("length")).where("length > 1")
+    # each list's pivot, the node with most values in common with others, with the rest of the list
+    pivots = lists.groupBy("v").agg(F.min_by("node", F.struct(-F.col("common"), "node")).alias("pivot"), F.count(F.lit(1)).alias("length")).where("length > 1")
     star = cut(lists.join(pivots, "v").where("node != pivot").select("pivot", "node").distinct(), "star")
     near = cut(_estimated(star.toDF("x", "y"), nodes), "near")
     wanted = cut(star.select("pivot").union(star.select("node")).distinct().toDF("node").join(nodes.select("node", "a", "b", "n", "min_doc"), "node"), "wanted")
     some = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).join(wanted.select(F.col("min_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = with_sets(some.select("text"), "text", words, "set")
-    sets = cut(found.join(wanted, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b"))).groupBy("node").agg(F.first("__set").alias("set")), "sets")
+    sets = cut(found.join(wanted, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b"))).groupBy("node").agg(F.first("__set").alias("set"), F.first("__bits").alias("bits")), "sets")
     labels = components(_verified(near, sets))
 
     # what is left among the nodes of a pivot
