@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Fixed value: the pattern by which byte-level BPE splits text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACES = b"\t\n\x0b\x0c\r "
 #: Last bytes of the characters above ASCII that count as white space, each with what precedes it.
 WIDE_SPACES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
-CACHE = 300_000
+CACHE = 100_000
 #: Longer fragments are not kept in the cache.
 CACHED_BYTES = 64
 
@@ -164,7 +164,7 @@ def _codec(tokenizer_json: str) -> ForcedBoundaryBPE:
 
 
 #: Rows and bytes that are encoded at a time.
-STEP_ROWS, STEP_BYTES = 512, 4 << 20
+STEP_ROWS, STEP_BYTES = 512, 1 << 20
 
 
 def slices(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
@@ -195,7 +195,7 @@ def _mapped(df: DataFrame, source: str, target: str, tokenizer_path: str, work)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(work(codec, rows), pa.binary())], names=[*names, target])
 
     chosen = df.select(*[df[c] for c in names], df[source].cast("binary").alias("__source"))
-    return chosen.mapInArrow(run, chosen.drop("__source").withColumn(target, F.lit(b"")).schema)
+    return small_batches(chosen).mapInArrow(run, chosen.drop("__source").withColumn(target, F.lit(b"")).schema)
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:

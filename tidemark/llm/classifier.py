@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, table
+from .common import cut, small_batches, table
 from .hashing import IS_SPACE, LOWER, joined, run_hashes, word_runs
 
 #: Labelled documents that the classifier is fitted on, about; features that it keeps, at most.
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(s[at]) for s in sums]], names=["bucket", "n", "bad", "toxic"])
 
     total = learned.agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).head()
-    counted = learned.mapInArrow(count, "bucket long, n long, bad long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)])
+    counted = small_batches(learned).mapInArrow(count, "bucket long, n long, bad long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)])
     best = F.lit(0.0)
     for t in TARGETS:
         ones, zeros = total[t] or 0, total["n"] - (total[t] or 0)
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), lists], names=["bad", "toxic", "place"])
 
-    got = learned.mapInArrow(known, "bad int, toxic int, place array<int>").orderBy("bad", "toxic", "place").toArrow()  # bounded rows of at most FEATURES numbers
+    got = small_batches(learned).mapInArrow(known, "bad int, toxic int, place array<int>").orderBy("bad", "toxic", "place").toArrow()  # bounded rows of at most FEATURES numbers
     n = got.num_rows
     lists = got.column("place").combine_chunks() if n else pa.array([], pa.list_(pa.int32()))
     counts = np.diff(lists.offsets.to_numpy()) if n else np.zeros(0, dtype=np.int64)
@@ -208,7 +208,7 @@ def evidence(docs: DataFrame, model: Linear, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns[: len(names)], pa.array(z[:, 0]), pa.array(z[:, 1])], names=[*names, "bad_logit", "toxic_logit"])
 
     chosen = docs.select(*[docs[f"`{c}`"] for c in names], docs[text].cast("binary").alias("__source"))
-    return chosen.mapInArrow(run, docs.select(*[f"`{c}`" for c in names], F.lit(0.0).alias("bad_logit"), F.lit(0.0).alias("toxic_logit")).schema)
+    return small_batches(chosen).mapInArrow(run, docs.select(*[f"`{c}`" for c in names], F.lit(0.0).alias("bad_logit"), F.lit(0.0).alias("toxic_logit")).schema)
 
 
 def _logit(p: Column) -> Column:

@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch on its way to Python: texts may be long, and each task holds a batch or two on either side.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session sends batches of about ``BATCH_BYTES`` to Python from now on."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``.
 

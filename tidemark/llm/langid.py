@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import table
+from .common import small_batches, table
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 10_000
@@ -184,7 +184,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(values[at])], names=["lang", "kind", "bucket", "n"])
 
-    counted = rows.where(drawn).mapInArrow(count, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
+    counted = small_batches(rows.where(drawn)).mapInArrow(count, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toArrow().to_pydict()  # a row for each language and bucket at most
     return Model(dict(zip(zip(got["lang"], got["kind"], got["bucket"], strict=True), got["n"], strict=True)))
 
@@ -219,7 +219,7 @@ def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, ARROW_SPANS), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, *ADDED.names])
 
     chosen = df.select(*[df[f"`{c}`"] for c in names], df[text].cast("binary").alias("__source"))
-    return chosen.mapInArrow(run, T.StructType([*df.select(*[f"`{c}`" for c in names]).schema.fields, *ADDED.fields]))
+    return small_batches(chosen).mapInArrow(run, T.StructType([*df.select(*[f"`{c}`" for c in names]).schema.fields, *ADDED.fields]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

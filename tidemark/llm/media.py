@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import slices
-from .common import table
+from .common import small_batches, table
 
 BLOCK = 576
 #: Follows the text; no UTF-8 text holds it.
@@ -109,7 +109,7 @@ def _mapped(df: DataFrame, source: str, added: list[T.StructField], arrow: list[
 
     chosen = df.select(*[df[f"`{c}`"] for c in names], df[source].cast("binary").alias("__source"))
     kept = df.select(*[f"`{c}`" for c in names]).schema.fields
-    return chosen.mapInArrow(run, T.StructType([*kept, *added]))
+    return small_batches(chosen).mapInArrow(run, T.StructType([*kept, *added]))
 
 
 def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .automata import Dfa, compile_rules
 from .bpe import slices
-from .common import table
+from .common import small_batches, table
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,7 @@ def scan(df: DataFrame, text: str = "text", spans: str = "spans", rules: tuple[R
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns[: len(names)], pa.array(out, ARROW_SPANS)], names=[*names, spans])
 
     chosen = df.select(*[df[f"`{c}`"] for c in names], df[text].cast("binary").alias("__source"))
-    return chosen.mapInArrow(run, T.StructType([*df.select(*[f"`{c}`" for c in names]).schema.fields, T.StructField(spans, SPANS)]))
+    return small_batches(chosen).mapInArrow(run, T.StructType([*df.select(*[f"`{c}`" for c in names]).schema.fields, T.StructField(spans, SPANS)]))
 
 
 def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -206,11 +206,11 @@ def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
                 found = s.scan(texts)
                 if any(found):
                     known = part.column(len(names)).is_valid().to_pylist()
-                    clean = [cover(raw, spans, rules) if ok else None for raw, spans, ok in zip(texts, found, known, strict=True)]
-                    columns[at] = pa.array(clean, pa.binary()).cast(pa.string())
+                    clean = [cover(raw, spans, rules).decode("utf-8", "replace") if ok else None for raw, spans, ok in zip(texts, found, known, strict=True)]
+                    columns[at] = pa.array(clean, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.withColumn("__source", df[text].cast("binary")).mapInArrow(run, df.schema)
+    return small_batches(df.withColumn("__source", df[text].cast("binary"))).mapInArrow(run, df.schema)
 
 
 def cover(raw: bytes, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> bytes:

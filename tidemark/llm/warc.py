@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import scratch_path, small_batches, table
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 0
@@ -160,7 +160,7 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
         if len(held) > 1:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
 
-    files = met.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(pack, "value binary")
+    files = small_batches(met.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))).mapInArrow(pack, "value binary")
     # each row is a file; the writer ends every row with its separator, here an empty member
     files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
