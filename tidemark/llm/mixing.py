@@ -144,8 +144,8 @@ def take(df: DataFrame) -> DataFrame:
     named = [F.col(f"`{c}`") for c in df.columns]
     keyed = df.withColumn("__h1", F.xxhash64(*named)).withColumn("__h2", F.xxhash64(F.lit(1), *named)) if df.columns else df
     drawn = mix(keyed, ("__h1", "__h2"))
-    times = drawn.groupBy("k0", "k1").agg(F.sum("copies").alias("__times"), F.count(F.lit(1)).alias("__rows"))
-    met = keyed.join(times, (keyed["__h1"] == times["k0"]) & (keyed["__h2"] == times["k1"])).where("__times > 0")
+    times = drawn.groupBy(F.col("k0").alias("__k0"), F.col("k1").alias("__k1")).agg(F.sum("copies").alias("__times"), F.count(F.lit(1)).alias("__rows"))
+    met = keyed.join(times, (keyed["__h1"] == times["__k0"]) & (keyed["__h2"] == times["__k1"])).where("__times > 0")
     lone = met.where("__rows = 1")
     equal = met.where("__rows > 1").dropDuplicates(["__h1", "__h2"])
     return lone.unionByName(equal).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*df.columns)
