@@ -533,6 +533,29 @@ def stream_interval_join(spark, sf):
     return drained(met.select("purchase", "click"))
 
 
+@query(f"""WITH {P} SELECT strftime(time_bucket(INTERVAL 1 HOUR, tm), '%Y-%m-%d %H:%M:%S') AS stt, event_type AS vc, is_new, count(*) AS pv_ct, count(*) FILTER (last_page_id IS NULL)::BIGINT AS sv_ct,
+  sum(k)::BIGINT AS dur_sum, min(ts) AS ts FROM p WHERE time_bucket(INTERVAL 1 HOUR, tm) + INTERVAL 1 HOUR <= (SELECT max(tm) - INTERVAL 11 SECOND FROM p) GROUP BY ALL""")
+def stream_visitor_stats(spark, sf):
+    p = page_stream(spark, sf).withColumns({"vc": F.col("event_type"), "ch": F.lit("web"), "ar": F.lit("x")})
+    started = F.when(scalar.blank(F.col("last_page_id")), 1).otherwise(0)
+    rows = service.visitor_rows(p, pv_ct=F.lit(1), sv_ct=started, dur_sum=F.col("k"))
+    return drained(jobs.visitor_stats(rows, "1 hour")).select("stt", "vc", "is_new", "pv_ct", "sv_ct", "dur_sum", "ts")
+
+
+@query(f"""WITH {P} SELECT strftime(time_bucket(INTERVAL 1 HOUR, tm), '%Y-%m-%d %H:%M:%S') AS stt, k AS sku_id, count(*)::BIGINT AS order_sku_num, count(DISTINCT mid) AS order_ct FROM p
+  WHERE event_type = 'purchase' AND time_bucket(INTERVAL 1 HOUR, tm) + INTERVAL 1 HOUR <= (SELECT max(tm) - INTERVAL 2 SECOND FROM p WHERE event_type = 'purchase') GROUP BY ALL""")
+def stream_product_stats(spark, sf):
+    p = page_stream(spark, sf).where("event_type = 'purchase'")
+    rows = service.product_rows(p, sku="k", order_sku_num=F.lit(1), order_id=F.col("mid"))
+    return drained(jobs.product_stats(rows, "1 hour")).select("stt", "sku_id", "order_sku_num", "order_ct")
+
+
+@query(ORACLES["unique_visit_first_of_day"].replace("min(arrival) AS arrival, ", ""))
+def stream_daily_visits(spark, sf):
+    entries = page_stream(spark, sf).where("last_page_id IS NULL").withColumn("event_time", F.col("at").cast("timestamp"))
+    return drained(jobs.daily_visits(entries)).select("mid", "day")
+
+
 def files_of(spark: SparkSession, sf: str, name: str, stream: bool = False) -> DataFrame:
     """A table by the file source."""
     return readers.table_files(spark, f"{sf}/{name}.parquet", stream=stream)
