@@ -174,7 +174,9 @@ def _large_pairs(group: DataFrame, sets: DataFrame) -> DataFrame:
     own = sets.select("node", F.col("set").alias("own"), "bits")
     hub = sets.select(F.col("node").alias("pivot"), F.col("set").alias("hub"))
     held = group.join(own, "node").join(hub, "pivot")
-    common = held.select("pivot", "many", F.explode(F.array_intersect("own", "hub")).alias("v"))
+    n_parts = int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = held.select("pivot", "node", "many", F.array_intersect("own", "hub").alias("has")).repartition(n_parts, "pivot", "node")  # a hot pivot's nodes go to all tasks
+    common = even.select("pivot", "many", F.explode("has").alias("v"))
     counts = common.groupBy("pivot", "v", "many").agg(F.count(F.lit(1)).alias("n")).where("2 * n >= many")
     middle = cut(counts.groupBy("pivot").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "v"))).alias("mid")).select("pivot", F.col("mid.v").alias("mid")), "middle")  # as long as the pivot's set at most
     met = group.join(own, "node").join(middle, "pivot", "left").withColumn("mid", F.coalesce("mid", F.array().cast("array<bigint>")))
@@ -186,9 +188,7 @@ def _large_pairs(group: DataFrame, sets: DataFrame) -> DataFrame:
     sure = sized.select("pivot", "node").join(best, "pivot").where("node != best").select(F.least("node", "best").alias("x"), F.greatest("node", "best").alias("y"))
     least_near = "greatest(1, CAST(ceil(greatest(d - n / 8, (d + (r - 1.25 * n) / 9) / 2) - 1e-9) AS int))"
     least_far = "greatest(1, CAST(ceil(d - n / 4 - 1e-9) AS int))"
-    n_parts = int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    even = sized.join(best, "pivot").repartition(n_parts, "pivot", "node")  # a hot pivot's nodes go to all tasks
-    prefix = even.selectExpr("pivot", "node", "n", "label", "bits", "d", f"d - {least_near} + 1 AS near", f"slice(diff, 1, greatest(0, d - {least_far} + 1)) AS far")
+    prefix = sized.join(best, "pivot").repartition(n_parts, "pivot", "node").selectExpr("pivot", "node", "n", "label", "bits", "d", f"d - {least_near} + 1 AS near", f"slice(diff, 1, greatest(0, d - {least_far} + 1)) AS far")
     prefix = cut(prefix.select("pivot", "node", "n", "label", "bits", "d", "near", F.posexplode("far").alias("at", "v")), "prefix")
     side = lambda rows, c: rows.select("pivot", "v", F.col("node").alias(c), *[F.col(x).alias(x + c) for x in ("n", "label", "bits", "d", "at")])
     met = side(prefix.where("at < near"), "x").join(side(prefix, "y"), ["pivot", "v"])
