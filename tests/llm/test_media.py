@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 import wave
 import zlib
 
@@ -57,3 +58,32 @@ def test_stretches_do_not_matter(monkeypatch):
     whole = media.peaks(sound)
     monkeypatch.setattr(media, "STRETCH", 7)
     assert (media.peaks(sound) == whole).all()
+
+
+def test_short_texts_have_features_of_their_own(spark, docs, monkeypatch):
+    words = "stream table window join key late state sink topic order price city".split()
+    r = random.Random(5)
+    texts = [" ".join(r.choices(words, k=n)) for n in (8, 30, 80, 150) for _ in range(12)]
+    texts += [w * k for w in ("abcdefghi", "zyxwvutsr") for k in (64, 128)]  # whole blocks, without padding
+    assert len(set(texts)) == len(texts) and {-(-len(t) // 576) for t in texts} == {1, 2}
+    rows = [*enumerate(texts), (100, texts[0])]
+    monkeypatch.setattr(media, "table", lambda *a: docs(rows))
+    got = {r.doc_id: r.feature for r in media.query(spark, "").collect()}
+    assert len({got[i] for i in range(len(texts))}) == len(texts) and got[100] == got[0]
+    assert not any(f.startswith("0:") for f in got.values())
+
+
+def test_fine_layer():
+    r = np.random.default_rng(4)
+    raw = r.integers(0, 256, 576, dtype=np.uint8).tobytes()
+    got = media.fine_peaks(raw)
+    sound = np.concatenate([np.zeros(192), np.frombuffer(raw, dtype=np.uint8).astype(float) - 128, np.zeros(192)]).astype(np.float32)
+    assert len(got) == 12
+    for t in range(12):
+        power = np.abs(np.fft.rfft(sound[t * 64 : t * 64 + 256] * np.hanning(257)[:-1].astype(np.float32))) ** 2
+        for k, (low, high) in enumerate(zip(media.FINE_BANDS, media.FINE_BANDS[1:])):
+            band = power[low:high]
+            assert got[t, k] == (low + band.argmax() if band.max() > max(2 * band.mean(), media.QUIET) else -1)
+    found = media.features(raw * 3)
+    assert (np.diff(found) > 0).all() and set(media.pairs(media.peaks(raw * 3)).tolist()) == {int(x) for x in found if x < media.FINE}
+    assert (media.fine_peaks(b"\xff" * 576)[4:8] == -1).all()  # constant windows have no peaks

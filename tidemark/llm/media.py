@@ -6,11 +6,19 @@ transforms: Hann windows of 1152 samples, 576 apart; in each window the stronges
 each of four bands that rises over the window's mean is a peak; each peak is paired with
 the peaks of the next windows in the same band. A pair is stored as a number, its time
 (the window's number) in the upper half and its code (both bins and the distance) in the
-lower, so that the array is in order of time and two recordings can be aligned by equal
-codes. A recording is transformed a stretch of windows at a time.
+lower, so that two recordings can be aligned by equal codes.
+
+Those windows are longer than most short texts, which have one or two of them and no
+pairs, or few. So there is a second, fine layer: windows of 256 samples, 64 apart, over
+the recording with silence on both sides, so that its first and last samples count as
+much as the others; the strongest bin of each band is a peak where it rises over twice
+the mean of its band. Its pairs carry ``FINE`` and follow the others, so that the array
+ascends, and each layer is in order of time. A recording is transformed a stretch of
+windows at a time.
 
 Defined cases: null text is the empty text, whose payload is one block of padding; equal
-payloads have equal files and fingerprints; a null recording has a null payload and
+payloads have equal files and fingerprints; fingerprints say where spectra peak, so texts
+of a few letters that move no peak may share one; a null recording has a null payload and
 fingerprint; other columns pass through.
 """
 
@@ -38,9 +46,17 @@ WINDOW, HOP = 2 * BLOCK, BLOCK
 BANDS = (4, 32, 96, 240, WINDOW // 2 + 1)
 #: Each peak is paired with the same band's peaks of so many following windows.
 REACH = 3
+#: The same for the fine layer; its pairs have this bit.
+FINE_WINDOW, FINE_HOP = 256, 64
+FINE_BANDS = (2, 8, 24, 56, FINE_WINDOW // 2 + 1)
+FINE = 1 << 62
+#: Power that a fine peak exceeds: rounding in a window of constant samples stays far below.
+QUIET = 1.0
 #: Windows that are transformed at a time.
 STRETCH = 1024
 _HANN = np.hanning(WINDOW).astype(np.float32)
+#: Periodic, so that a constant window has power in its two lowest bins alone.
+_FINE_HANN = np.hanning(FINE_WINDOW + 1)[:-1].astype(np.float32)
 
 
 def padded(raw: bytes) -> bytes:
@@ -64,22 +80,43 @@ def from_wav(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
+def _sound(samples: bytes) -> np.ndarray:
+    return np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - np.float32(128)
+
+
+def _silence(n: int) -> np.ndarray:
+    return np.zeros(n, dtype=np.float32)
+
+
 def peaks(samples: bytes) -> np.ndarray:
     """For each window the peak's bin in each band, or -1."""
-    sound = np.frombuffer(samples, dtype=np.uint8).astype(np.float32) - np.float32(128)
+    sound = _sound(samples)
     n = max(1, -(-len(sound) // HOP) - 1)
-    sound = np.concatenate([sound, np.zeros(max(0, (n - 1) * HOP + WINDOW - len(sound)), dtype=np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(sound, WINDOW)[::HOP]
+    sound = np.concatenate([sound, _silence(max(0, (n - 1) * HOP + WINDOW - len(sound)))])
+    return _peaks(sound, n, HOP, _HANN, BANDS, lambda power, band: power.mean(axis=1))
+
+
+def fine_peaks(samples: bytes) -> np.ndarray:
+    """The same in the fine layer, whose first window ends with the first ``FINE_HOP`` samples and whose last begins with the last ones."""
+    sound = _sound(samples)
+    n = -(-len(sound) // FINE_HOP) + FINE_WINDOW // FINE_HOP - 1
+    before = FINE_WINDOW - FINE_HOP
+    sound = np.concatenate([_silence(before), sound, _silence((n - 1) * FINE_HOP + FINE_WINDOW - before - len(sound))])
+    return _peaks(sound, n, FINE_HOP, _FINE_HANN, FINE_BANDS, lambda power, band: np.maximum(2 * band.mean(axis=1), QUIET))
+
+
+def _peaks(sound: np.ndarray, n: int, hop: int, hann: np.ndarray, bands: tuple[int, ...], floor) -> np.ndarray:
+    """Of ``n`` windows each band's strongest bin that rises over ``floor`` (of all powers and the band's), or -1."""
+    frames = np.lib.stride_tricks.sliding_window_view(sound, len(hann))[::hop]
     found = []
     for at in range(0, n, STRETCH):
-        spectrum = np.fft.rfft(frames[at : at + STRETCH] * _HANN)
+        spectrum = np.fft.rfft(frames[at : at + STRETCH] * hann)
         power = spectrum.real**2 + spectrum.imag**2
-        floor = power.mean(axis=1)
         bins = []
-        for low, high in zip(BANDS, BANDS[1:], strict=False):
+        for low, high in zip(bands, bands[1:], strict=False):
             band = power[:, low:high]
             top = band.argmax(axis=1)
-            bins.append(np.where(np.take_along_axis(band, top[:, None], axis=1)[:, 0] > floor, top + low, -1))
+            bins.append(np.where(np.take_along_axis(band, top[:, None], axis=1)[:, 0] > floor(power, band), top + low, -1))
         found.append(np.stack(bins, axis=1))
     return np.concatenate(found)
 
@@ -95,6 +132,11 @@ def pairs(peak: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
 
 
+def features(samples: bytes) -> np.ndarray:
+    """The pairs of both layers, ascending."""
+    return np.concatenate([pairs(peaks(samples)), pairs(fine_peaks(samples)) | FINE])
+
+
 def _mapped(df: DataFrame, source: str, added: list[T.StructField], arrow: list[pa.DataType], work) -> DataFrame:
     new = [f.name for f in added]
     names = [c for c in df.columns if c not in new]
@@ -118,13 +160,13 @@ def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
 
 
 def fingerprint(df: DataFrame, media: str = "media") -> DataFrame:
-    """Adds ``payload`` (the samples read back) and ``fingerprint`` (array of time-coded pairs). Replaces columns of these names."""
+    """Adds ``payload`` (the samples read back) and ``fingerprint`` (array of time-coded pairs, the fine ones last). Replaces columns of these names."""
 
     def work(raw: bytes, ok: bool):
         if not ok:
             return None, None
         samples = from_wav(raw)
-        return samples, pairs(peaks(samples))
+        return samples, features(samples)
 
     added = [T.StructField("payload", T.BinaryType()), T.StructField("fingerprint", T.ArrayType(T.LongType()))]
     return _mapped(df, media, added, [pa.binary(), pa.list_(pa.int64())], work)
