@@ -82,3 +82,31 @@ def test_keep_passes_columns_on(docs):
 def test_no_python_in_the_plan(docs):
     plan = q.judge(q.statistics(docs([(1, "a")])), "lang", "source")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def vectors_of(found):
+    return [[np.log(s.n_words + 1), np.log((s.word_chars + 1) / (s.n_words + 1)), np.log1p(100 * s.n_symbols / (s.word_chars + 1)), np.log1p(100 * s.n_dup_lines / (s.n_words + 1)), np.log1p(100 * s.n_repeat_words / (s.n_words + 1))] for s in found]
+
+
+def test_small_cells_are_judged_by_more_rows(docs):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(2, 9)))
+    clean = lambda: " ".join(word() for _ in range(r.randrange(20, 300)))
+    junk = lambda: " ".join(word() + "***" for _ in range(40))
+    rows = [(i, clean(), "en", "big") for i in range(400)]
+    rows += [(1000 + i, junk(), "en", "rare") for i in range(60)]  # by its language
+    rows += [(2000 + i, junk() if i < 5 else clean(), "xx" if i % 2 else None, f"s{i % 3}" if i % 3 else None) for i in range(30)]  # by all documents
+    out = {x.doc_id: x for x in q.judge(q.statistics(docs(rows)), "lang", "source").collect()}
+    assert len(out) == len(rows) and not any(x.base_failed for x in out.values())
+    en, every = [out[i] for i in (*range(400), *range(1000, 1060))], [out[i] for i, *_ in rows]
+    assert [x.kept for x in en[:400]] == plain_verdicts(vectors_of(en[:400])).tolist()
+    assert [x.kept for x in en[400:]] == plain_verdicts(vectors_of(en)).tolist()[400:]
+    assert [x.kept for x in every[460:]] == plain_verdicts(vectors_of(every)).tolist()[460:]
+    assert not any(x.kept for x in en[400:]) and [x.kept for x in every[460:]] == [False] * 5 + [True] * 25
+
+
+def test_few_documents_are_judged(docs):
+    r = random.Random(6)
+    rows = [(i, " ".join("".join(r.choices("abcdefghij", k=r.randrange(2, 9))) + "***" * (i < 2) for _ in range(60)), "en", f"s{i % 3}") for i in range(40)]
+    out = {x.doc_id: x.kept for x in q.judge(q.statistics(docs(rows)), "lang", "source").collect()}
+    assert [out[i] for i in range(40)] == [False] * 2 + [True] * 38

@@ -6,8 +6,9 @@ language and source the minimum covariance determinant gives a centre and a scat
 outliers do not move: from the medians on, concentration steps take the mean and the
 covariance of the ``COVERAGE`` of the rows that are nearest by the last estimate. A
 document is rejected when its squared Mahalanobis distance is over ``CUTOFF``. A language
-and source with fewer than ``LEAST_ROWS`` rows joins its language's small ones, and those
-all others' if they are still too few; under that number nothing is rejected.
+and source with fewer than ``LEAST_ROWS`` rows is judged by the estimate over all rows of
+its language, and one whose language has fewer by the estimate over all documents, however
+many these are, so that every document that passes the fixed limits gets a verdict.
 
 All of it is DataFrame and SQL functions. Texts are read once; their statistics are
 written to the scratch folder and only these short rows are grouped, by sums and by
@@ -126,17 +127,25 @@ def vector() -> list[Column]:
     ]
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """__l, __s and the name of the cell of every language and source; null where even all small ones together are too few."""
+def _cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """__l, __s and the __cell by which a language and source is judged; and the same with each cell whose estimate its rows are part of."""
     n = F.col("__n")
     counts = rows.where("NOT __failed").groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("__n"))
-    small = counts.where(n < LEAST_ROWS)
-    by_lang = small.groupBy("__lang").agg(F.sum(n).alias("__of_lang")).withColumnRenamed("__lang", "__l2")
-    rest = by_lang.where(F.col("__of_lang") < LEAST_ROWS).agg(F.sum("__of_lang").alias("__of_all"))  # one row
-    level = F.when(n >= LEAST_ROWS, 0).when(F.col("__of_lang") >= LEAST_ROWS, 1).when(F.col("__of_all") >= LEAST_ROWS, 2)
-    name = F.to_json(F.struct(level.alias("level"), F.when(level < 2, F.col("__lang")).alias("lang"), F.when(level < 1, F.col("__source")).alias("source")))
-    met = counts.join(by_lang, F.col("__lang").eqNullSafe(F.col("__l2")), "left").crossJoin(F.broadcast(rest))
-    return met.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), F.when(level.isNotNull(), name).alias("__cell"))
+    by_lang = counts.groupBy("__lang").agg(F.sum(n).alias("__of_lang")).withColumnRenamed("__lang", "__l2")
+    level = F.when(n >= LEAST_ROWS, 0).when(F.col("__of_lang") >= LEAST_ROWS, 1).otherwise(2)
+    met = counts.join(by_lang, F.col("__lang").eqNullSafe(F.col("__l2")))
+    judged = cut(met.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), level.alias("__level")), "cells")
+
+    def name(at: Column) -> Column:
+        return F.to_json(F.struct(at.alias("level"), F.when(at < 2, F.col("__l")).alias("lang"), F.when(at < 1, F.col("__s")).alias("source")))
+
+    # a language's and the whole estimate are made only where some cell is judged by them
+    asked = judged.groupBy("__l").agg(F.max(F.col("__level") == 1).alias("__by_lang")).withColumnRenamed("__l", "__l2")
+    ever = judged.agg(F.max(F.col("__level") == 2).alias("__by_all"))  # one row
+    each = judged.join(asked, F.col("__l").eqNullSafe(F.col("__l2"))).crossJoin(F.broadcast(ever))
+    parts = F.array(F.when(F.col("__level") == 0, name(F.lit(0))), F.when(F.col("__by_lang"), name(F.lit(1))), F.when(F.col("__by_all"), name(F.lit(2))))
+    feeds = cut(each.select("__l", "__s", F.explode(F.filter(parts, lambda c: c.isNotNull())).alias("__cell")), "feeds")
+    return judged.select("__l", "__s", name(F.col("__level")).alias("__cell")), feeds
 
 
 def _with(rows: DataFrame, by_cell: DataFrame) -> DataFrame:
@@ -180,9 +189,9 @@ def judge(stats: DataFrame, lang: str, source: str) -> DataFrame:
         stats.select("*", F.col(lang).alias("__lang"), F.col(source).alias("__source"), base_failed().alias("__failed"), *[v.alias(f"__x{i}") for i, v in enumerate(vector())]),
         "statistics",
     )
-    cells = cut(_cells(rows), "cells")
+    cells, feeds = _cells(rows)
     of_row = F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s"))
-    measured = rows.where("NOT __failed").join(cells.where("__cell IS NOT NULL"), of_row).select("__cell", *[f"__x{i}" for i in range(D)])
+    measured = rows.where("NOT __failed").join(feeds, of_row).select("__cell", *[f"__x{i}" for i in range(D)])
     quartiles = measured.groupBy("__cell").agg(*[F.percentile(F.floor(BINS * F.col(f"__x{i}")), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(D)])
     start = cut(
         quartiles.select(
