@@ -65,3 +65,21 @@ def test_automaton(pattern):
 
 def test_minimal():
     assert len(compile_rules(["(a|b)(c|d)"], anywhere=False).accept) == 4  # start, after one, end, dead
+
+
+def test_whole_pem_keys_go(docs):
+    r = random.Random(7)
+    b64 = lambda n: "".join(r.choices("ABCDEFabcdef0123456789+/", k=n))
+    lines = [*(b64(64) for _ in range(25)), b64(18) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C3D", ""]
+    key = [begin, *lines, end]
+    narrow = [begin, *(b64(8) for _ in range(9)), end]
+    forms = ["\n".join(key), "\r\n".join(key), "\n    ".join(key), " ".join(key), "\\n".join(key), '\\n" +\n"'.join(key), "\n> ".join(key), "\n".join([begin, *fields, *lines, end]), "\n".join(narrow)]
+    rows = [(i, f"é before\n{x}\nafter it\n{x} token=abcdef0123456789") for i, x in enumerate(forms)]
+    out = {x.doc_id: x.text for x in secrets.redact(docs(rows)).collect()}
+    assert out == {i: "é before\n[pem]\nafter it\n[pem] [assign]" for i in range(len(forms))}
+    # without an END line the lines of the key go, and text stays
+    more = [(1, "\n".join([begin, *lines[:3], "c2hvcnQ="]) + "\n\nThis is text."), (2, f"{begin} is how a header looks."), (3, f"{begin}\n{lines[0]}\n{forms[0]}\nx")]
+    out = {x.doc_id: x.text for x in secrets.redact(docs(more)).collect()}
+    assert out == {1: "[pem]\n\nThis is text.", 2: "[pem] is how a header looks.", 3: "[pem]\n[pem]\nx"}

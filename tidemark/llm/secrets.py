@@ -6,7 +6,8 @@ for each run of bytes between two that no match can hold (line ends, most punctu
 everything above ASCII) which rules match in it. Many runs step through the array side
 by side. Only in a run where a rule has matched, that rule's own automaton then finds
 the leftmost, longest matches that do not overlap, and those whose tail or whole is too
-short are dropped.
+short are dropped. A rule may go on beyond its run: the header of a PEM key is found in
+its run, and the span then goes on over lines of base64 to the END line (``pem_end``).
 
 Defined cases: null and empty texts have no spans; positions are code points, the end
 exclusive; spans of different rules may overlap; equal rows are scanned alike; other
@@ -16,7 +17,8 @@ columns pass through.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +32,29 @@ from .bpe import slices
 from .common import small_batches, table
 
 
+#: Between pieces of a key: white space, line ends as they are escaped in strings, quotes, and marks of quoted or commented lines.
+_GAP = rb"""(?:\s|\\+[nrt]|["'`,>#*|;\\])*+"""
+_PIECE = re.compile(_GAP + rb"([A-Za-z0-9+/=]++)")
+_FIELD = re.compile(_GAP + rb"[A-Za-z][A-Za-z0-9\-]*+:[^\r\n\\]*+")
+_END = re.compile(_GAP + rb"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+#: Pieces of at least so many characters belong to a key even where its END line is missing.
+LEAST_PIECE = 16
+
+
+def pem_end(raw: bytes, at: int) -> int:
+    """Where the PEM key whose header ends at ``at`` ends: after its END line, or without one after its last long line and one short line that follows it."""
+    end, after_long = at, False
+    while m := _FIELD.match(raw, at):
+        at = m.end()
+    while m := _PIECE.match(raw, at):
+        at, long = m.end(), len(m[1]) >= LEAST_PIECE
+        if long or after_long and re.search(rb"\n|\r|\\[nr]", raw[m.start() : m.start(1)]):
+            end = at
+        after_long = long
+    closing = _END.match(raw, at)
+    return closing.end() if closing else end
+
+
 @dataclass(frozen=True)
 class Rule:
     """A match is ``head`` and then one or more of ``tail``; it is kept with that many bytes of tail and in all.
@@ -43,6 +68,8 @@ class Rule:
     least_tail: int = 1
     least: int = 1
     seen: int = 1
+    #: From a text and a match's end to where its span ends, in this or a later run.
+    beyond: Callable[[bytes, int], int] | None = None
 
 
 #: The kinds that every scan reports, in the order in which they are listed.
@@ -58,7 +85,7 @@ MORE = (
     Rule("stripe", "[rs]k_(live|test)_", "[A-Za-z0-9]", least_tail=16),
     Rule("google", "AIza", "[A-Za-z0-9_\\-]", least_tail=35),
     Rule("jwt", "eyJ[A-Za-z0-9_\\-]+\\.[A-Za-z0-9_\\-]+\\.", "[A-Za-z0-9_\\-]", least_tail=8),
-    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "[\\-]", least_tail=5),
+    Rule("pem", "-----BEGIN ([A-Z]+ )*PRIVATE KEY", "[\\-]", least_tail=5, beyond=pem_end),
 )
 RULES = BASE + MORE
 
@@ -150,7 +177,9 @@ class Scanner:
             raw, shift = joined[a:b], a - int(bounds[doc])
             for rule in range(len(self.rules)):
                 if bits >> rule & 1:
-                    found[doc] += [(shift + x, rule, shift + y) for x, y in self.matches(rule, raw)]
+                    beyond = self.rules[rule].beyond
+                    for x, y in self.matches(rule, raw):
+                        found[doc].append((shift + x, rule, beyond(texts[doc], shift + y) if beyond else shift + y))
         for spans in found:
             spans.sort()
         return found
@@ -161,7 +190,7 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     """One for each worker process and set of rules."""
     built = Scanner(rules)
     if not built.resets[10]:
-        raise ValueError("no rule may hold a line end")
+        raise ValueError("no head or tail of a rule may hold a line end")
     return built
 
 
