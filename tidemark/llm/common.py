@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of every word contract: space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,12 +23,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session sends batches of about ``BATCH_BYTES`` to Python from now on."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``df``; its session sends batches of about ``BATCH_BYTES`` to Python, unless it has a setting of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) in ("67108864", "64MB"):  # Spark's default
+        conf.set(_BATCH, str(BATCH_BYTES))
     return df
 
 
+def named(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``df`` has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def _unhashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _unhashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unhashable(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes that stand for a row: all of its columns, and which of them are null."""
+    parts: list[Column] = []
+    for f in df.schema.fields:
+        c = named(f.name)
+        parts += [F.to_json(F.struct(c)) if _unhashable(f.dataType) else c, c.isNull()]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (0, 1)]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``.
 
@@ -48,22 +85,22 @@ def scratch_root(spark: SparkSession) -> str:
 _roots: set[str] = set()
 
 
-def _remove(spark: SparkSession, root: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended; its owner clears the folder
-        return
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new folder for one written table; the application's tables go when Python exits."""
+    """A new folder for one written table; the application's tables go when its JVM ends, whether or not the session was stopped before."""
     root = scratch_root(spark)
     if root not in _roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
         _roots.add(root)
-        atexit.register(_remove, spark, root)
     return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a Parquet row group in scratch tables: a task that writes texts holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read again: its lineage ends there.
 
@@ -72,10 +109,19 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that may be broadcast: at 16 bytes each a few MB, whatever the input.
+BROADCAST_KEYS = 200_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if ``rows``, its counted size, is within ``BROADCAST_KEYS``; else joins shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_KEYS else df
+
+
 def trimmed(text: Column) -> Column:
     """The text without white space at its ends; empty for null."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

@@ -19,15 +19,25 @@ that many texts hold go there only with texts that consist of little else.
    prefixes of X and Y in one order have a value in common, which another inverted list
    over (p, value) finds; near copies of one text differ from it in different places, and
    few of them meet there.
-3. These pairs pass the same filter and the same exact check; labels are joined up.
+3. Only labels are asked for, not all links of a group, so these lists are worked off in
+   rounds: all nodes of a list are paired with ``REPS`` of it, the nearest to p and some
+   drawn by hash, what is linked gets one label, and lists with one label are done with.
+   Then, in lists that still hold several, the nodes outside each list's most frequent
+   label are paired with all. As signatures of the sets already tell those pairs that
+   are linked from nearly all that are not, hardly any pair is left for that.
+4. All pairs pass the same filter and the same exact check; labels are joined up.
 
 Nothing is dropped or capped: the lists are exact but for the chance that the sketches
 of a linked pair are that unlike. No group is collected; hot lists are sums and joins.
+Sets are sets of 63-bit hashes of shingles, made from 128-bit digests of their words; two
+different shingles agree with a chance of 2**-63, whatever they are, and two different
+sets are one node with one of 2**-127.
 
 Defined cases: null and empty texts have the empty set, are linked with nothing and
 kept; rows with one doc_id and several texts are a node for each text; rows without
 doc_id count in the node of their set, but a node of such rows alone is linked with
-nothing and has no component_id; an empty table gives no rows.
+nothing and has no component_id; texts of any length are read whole; an empty table gives
+no rows; other columns, whatever their names, are ignored, or passed on by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -41,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, small_batches, table
+from .common import cut, fresh, named, row_key, small_batches, small_side, table
 from .hashing import mix, shingles
 
 SKETCH = 64
@@ -49,6 +59,8 @@ SIMILAR = 0.8
 MISSED = 2e-10
 #: Nodes of a pivot up to which they are paired one by one.
 SMALL = 48
+#: Nodes of a list that all of it is paired with in a round, and rounds at most; what they leave is paired in full.
+REPS, ROUNDS = 4, 3
 STEP_BYTES = 1 << 18
 
 
@@ -65,10 +77,9 @@ def _enough(size: str, k: int) -> str:
     return f"least({least_shared(k)}, CAST(ceil({size} * {SIMILAR} - 1e-9) AS int))"
 
 
-def _identity(values: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
-    h = values.astype(np.uint64)
-    return int(mix(h).sum(dtype=np.uint64).astype(np.int64)), int(mix(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(len(h))).sum(dtype=np.uint64).astype(np.int64))
+def _identity(values: np.ndarray, second: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, from two independent hashes of its members."""
+    return int(mix(values.astype(np.uint64)).sum(dtype=np.uint64).astype(np.int64)), int(mix(second + np.uint64(len(second))).sum(dtype=np.uint64).astype(np.int64))
 
 
 #: Bits of a set's signature, in words of 64.
@@ -82,29 +93,27 @@ def _parities(values: np.ndarray) -> list[int]:
 
 
 def with_sets(df: DataFrame, text: str, words: int, what: str) -> DataFrame:
-    """The columns of ``df`` with __a and __b (the set's identity), __n (its size) and, as ``what`` says, __sketch, or __set and its __bits.
+    """The columns of ``df`` but ``text``, with __a and __b (the set's identity), __n (its size) and, as ``what`` says, __sketch, or __set and its __bits.
 
-    ``text`` goes unless ``what`` is "text"."""
-    names = [c for c in df.columns if what == "text" or c != text]
-    most = {"sketch": SKETCH, "set": None}.get(what, 0)
-    added = ["__a", "__b", "__n"] + {"sketch": ["__sketch"], "set": ["__set", "__bits"]}.get(what, [])
+    ``df`` has no columns of these names."""
+    names = [c for c in df.columns if c != text]
+    added = ["__a", "__b", "__n"] + {"sketch": ["__sketch"], "set": ["__set", "__bits"]}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in slices(batch.column(len(names)), STEP_BYTES):
-                sets = shingles(texts, words)
-                ids = [_identity(s) for s in sets]
-                columns = [*batch.slice(start, len(texts)).columns[: len(names)], pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-                if len(added) > 3:
-                    columns.append(pa.array([s[:most] for s in sets], pa.list_(pa.int64())))
+                both = shingles(texts, words)
+                ids = [_identity(*s) for s in both]
+                columns = [*batch.slice(start, len(texts)).columns[: len(names)], pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([len(s) for s, _ in both], pa.int64())]
+                columns.append(pa.array([s[:SKETCH] if what == "sketch" else s for s, _ in both], pa.list_(pa.int64())))
                 if what == "set":
-                    columns.append(pa.array([_parities(s) for s in sets], pa.list_(pa.int64())))
+                    columns.append(pa.array([_parities(s) for s, _ in both], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
-    chosen = df.select(*[df[f"`{c}`"] for c in names], df[text].cast("binary").alias("__source"))
+    chosen = df.select(*[named(c) for c in names], named(text).cast("binary").alias("__source"))
     zero = F.lit(0).cast("long")
     like = [zero.alias(c) for c in added[:3]] + [F.array().cast("array<bigint>").alias(c) for c in added[3:]]
-    return small_batches(chosen).mapInArrow(run, df.select(*[f"`{c}`" for c in names], *like).schema)
+    return small_batches(chosen).mapInArrow(run, df.select(*[named(c) for c in names], *like).schema)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,8 +167,8 @@ def _small_pairs(group: DataFrame) -> DataFrame:
     return x.join(y, "pivot").where("x < y AND lx != ly AND 100 * least(nx, ny) >= 80 * greatest(nx, ny)").select("x", "y").distinct()
 
 
-def _large_pairs(group: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different labels whose differences from the pivot may overlap enough; see the module's text.
+def _prefixes(group: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For pivots with many nodes: pairs that are paired anyway, and lists of what nodes differ from their pivot in; see the module's text.
 
     The reference p is what half of the pivot's nodes have of the pivot. With a and b
     the sizes of X and Y, a <= b, and sizes nx and ny within a factor of 1.25, linked x
@@ -167,9 +176,8 @@ def _large_pairs(group: DataFrame, sets: DataFrame) -> DataFrame:
     over zero the two are linked for certain. The node with the greatest n - 9 a, r, is
     paired with all others; any two nodes that aren't both linked to it for certain have
     c over zero. As seen from x, c is at least a - nx / 8 and (a + (r - 1.25 nx) / 9) / 2,
-    as seen from y, as a >= c, b - ny / 4. Of the values from their first common one on, both
-    must have c, and neither b - a nor the bits in which their signatures differ can be
-    over (nx + ny) / 9. The join itself asks for all of this.
+    as seen from y, as a >= c, b - ny / 4: the entries before ``near`` are x's in the role
+    of x, and all are its own in the role of y.
     """
     own = sets.select("node", F.col("set").alias("own"), "bits")
     hub = sets.select(F.col("node").alias("pivot"), F.col("set").alias("hub"))
@@ -182,27 +190,96 @@ def _large_pairs(group: DataFrame, sets: DataFrame) -> DataFrame:
     met = group.join(own, "node").join(middle, "pivot", "left").withColumn("mid", F.coalesce("mid", F.array().cast("array<bigint>")))
     # one order for all nodes of a pivot: what they add, mostly theirs alone, then what they lack, first what few lack
     apart = met.withColumn("diff", F.concat(F.array_sort(F.array_except("own", "mid")), F.array_except("mid", "own")))
-    sized = cut(apart.select("pivot", "node", "n", "label", "bits", F.size("diff").alias("d"), "diff"), "apart")
+    sized = cut(apart.select("pivot", "node", "n", "bits", F.size("diff").alias("d"), "diff"), "apart")
     best = sized.groupBy("pivot").agg(F.min_by("node", F.struct(9 * F.col("d") - F.col("n"), "node")).alias("best"), F.max(F.col("n") - 9 * F.col("d")).alias("r"))
     best = cut(best, "best")
     sure = sized.select("pivot", "node").join(best, "pivot").where("node != best").select(F.least("node", "best").alias("x"), F.greatest("node", "best").alias("y"))
     least_near = "greatest(1, CAST(ceil(greatest(d - n / 8, (d + (r - 1.25 * n) / 9) / 2) - 1e-9) AS int))"
     least_far = "greatest(1, CAST(ceil(d - n / 4 - 1e-9) AS int))"
-    prefix = sized.join(best, "pivot").repartition(n_parts, "pivot", "node").selectExpr("pivot", "node", "n", "label", "bits", "d", f"d - {least_near} + 1 AS near", f"slice(diff, 1, greatest(0, d - {least_far} + 1)) AS far")
-    prefix = cut(prefix.select("pivot", "node", "n", "label", "bits", "d", "near", F.posexplode("far").alias("at", "v")), "prefix")
-    side = lambda rows, c: rows.select("pivot", "v", F.col("node").alias(c), *[F.col(x).alias(x + c) for x in ("n", "label", "bits", "d", "at")])
-    met = side(prefix.where("at < near"), "x").join(side(prefix, "y"), ["pivot", "v"])
+    prefix = sized.join(best, "pivot").repartition(n_parts, "pivot", "node").selectExpr("pivot", "node", "n", "bits", "d", f"d - {least_near} + 1 AS near", f"slice(diff, 1, greatest(0, d - {least_far} + 1)) AS far")
+    return sure.distinct(), cut(prefix.select("pivot", "node", "n", "bits", "d", "near", F.posexplode("far").alias("at", "v")), "prefix")
+
+
+_ENTRY = ("n", "label", "bits", "d", "at", "near")
+
+
+def _met(xs: DataFrame, ys: DataFrame) -> DataFrame:
+    """Pairs x, y of entries of a list that may be linked: ``xs`` in the role of x, ``ys`` in that of y.
+
+    Of the values from their first common one on, both must have c, and neither b - a
+    nor the bits in which their signatures differ can be over (nx + ny) / 9.
+    """
+    side = lambda rows, c: rows.select("pivot", "v", F.col("node").alias(c), *[F.col(x).alias(x + c) for x in _ENTRY])
     differ = " + ".join(f"bit_count(bitsx[{i}] ^ bitsy[{i}])" for i in range(BITS // 64))
-    met = met.where(
-        f"""labelx != labely AND (dx < dy OR (dx = dy AND x < y)) AND 100 * least(nx, ny) >= 80 * greatest(nx, ny)
+    met = side(xs, "x").join(side(ys, "y"), ["pivot", "v"]).where(
+        f"""labelx != labely AND (dx < dy OR (dx = dy AND x < y)) AND atx < nearx AND 100 * least(nx, ny) >= 80 * greatest(nx, ny)
         AND 18 * least(dx - atx, dy - aty) >= 9 * (dx + dy) - (nx + ny) AND 9 * (dy - dx) <= nx + ny AND 9 * ({differ}) <= nx + ny"""
     )
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).unionByName(sure).distinct()
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _several(entries: DataFrame) -> DataFrame:
+    """The entries of lists with more than one label; adds the list's most frequent label as ``most``."""
+    by_label = entries.groupBy("pivot", "v", "label").agg(F.count(F.lit(1)).alias("k"))
+    lists = by_label.groupBy("pivot", "v").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    return entries.join(lists.select("pivot", "v", "most"), ["pivot", "v"])
+
+
+def _represented(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the entries of each list with ``REPS`` of it, others in every turn."""
+    item = F.struct("node", *_ENTRY)
+    draws = [F.struct("d", "node")] if turn == 0 else []
+    draws += [F.struct(F.xxhash64(F.lit(turn * REPS + k), "node"), "node") for k in range(REPS - len(draws))]
+    reps = entries.groupBy("pivot", "v").agg(*[F.min_by(item, draw).alias(f"r{k}") for k, draw in enumerate(draws)])
+    reps = reps.select("pivot", "v", F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(len(draws))]))).alias("r")).select("pivot", "v", "r.*")
+    reps = cut(reps, "reps")
+    return _met(reps, entries).unionByName(_met(entries, reps)).distinct()
+
+
+def _large_links(group: DataFrame, sets: DataFrame, nodes: DataFrame) -> list[DataFrame]:
+    """Links between nodes of different labels among the nodes of pivots with many, as many as join all that belong together."""
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return cut(_verified(cut(_estimated(cut(pairs, "rest"), nodes), "near"), sets), "links")
+
+    sure, prefix = _prefixes(group.select("pivot", "node", "n", "many"), sets)
+    first = cut(group.select("node", F.col("label").alias("first")).distinct(), "first")
+    found: list[DataFrame] = []
+
+    def mixed() -> DataFrame:
+        joined = components(_by_label(found, first))
+        label = _relabelled(first, joined, "first", "label").select("node", "label")
+        return cut(_several(prefix.join(label, "node")), "mixed")
+
+    found.append(checked(sure))
+    left = mixed()
+    for turn in range(ROUNDS):
+        if left.isEmpty():
+            return found
+        more = checked(_represented(left.drop("most"), turn))
+        if more.isEmpty():
+            break
+        found.append(more)
+        left = mixed()
+    # all that is left: what isn't of a list's most frequent label with everything, in either role
+    own, other = left.where("label = most"), left.where("label != most")
+    found.append(checked(_met(other, left).unionByName(_met(own, other)).distinct()))
+    return found
+
+
+def _by_label(links: list[DataFrame], first: DataFrame) -> DataFrame:
+    """All of ``links`` between the labels that their nodes had at first."""
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    x, y = first.toDF("x", "lx"), first.toDF("y", "ly")
+    return every.join(x, "x").join(y, "y").select(F.col("lx").alias("x"), F.col("ly").alias("y"))
 
 
 def link(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables: each row's doc_id, __a, __b and __n; and each node's a, b, n, min_doc and component (of node numbers)."""
-    rows = cut(with_sets(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), "text", words, "sketch"), "rows")
+    """Two tables: each row's doc_id, __k0 and __k1 (its ``row_key``), __a, __b, __n and __sketch; and each node's a, b, n, min_doc and component (of node numbers)."""
+    k0, k1 = row_key(df)
+    rows = cut(with_sets(df.select(named(id_col).alias("doc_id"), k0.alias("__k0"), k1.alias("__k1"), named(text_col).alias("text")), "text", words, "sketch"), "rows")
     full = rows.where("__n > 0")
     nodes = full.groupBy(F.col("__a").alias("a"), F.col("__b").alias("b")).agg(F.min("doc_id").alias("min_doc"), F.first("__n").alias("n"), F.first("__sketch").alias("sketch"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -220,7 +297,7 @@ def link(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "tex
     star = cut(lists.join(pivots, "v").where("node != pivot").select("pivot", "node").distinct(), "star")
     near = cut(_estimated(star.toDF("x", "y"), nodes), "near")
     wanted = cut(star.select("pivot").union(star.select("node")).distinct().toDF("node").join(nodes.select("node", "a", "b", "n", "min_doc"), "node"), "wanted")
-    some = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")).join(wanted.select(F.col("min_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    some = df.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).join(wanted.select(F.col("min_doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     found = with_sets(some.select("text"), "text", words, "set")
     sets = cut(found.join(wanted, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b"))).groupBy("node").agg(F.first("__set").alias("set"), F.first("__bits").alias("bits")), "sets")
     labels = components(_verified(near, sets))
@@ -230,8 +307,12 @@ def link(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "tex
     group = _relabelled(_relabelled(group, labels, "node", "label"), labels, "pivot", "hub")
     sizes = group.groupBy("pivot").agg(F.count(F.lit(1)).alias("many"), F.max(F.col("label") != F.col("hub")).alias("mixed")).where("mixed AND many > 1")
     group = cut(group.join(sizes, "pivot").select("pivot", "node", "n", "label", "many"), "group")
-    rest = _small_pairs(group.where(F.col("many") <= SMALL)).unionByName(_large_pairs(group.where(F.col("many") > SMALL), sets)).distinct()
+    rest = _small_pairs(group.where(F.col("many") <= SMALL))
     more = _verified(cut(_estimated(cut(rest, "rest"), nodes), "near"), sets)
+    large = group.where(F.col("many") > SMALL)
+    if not large.isEmpty():
+        for links in _large_links(large, sets, nodes):
+            more = more.unionByName(links)
     joined = components(_relabelled(_relabelled(more, labels, "x", "lx"), labels, "y", "ly").select(F.col("lx").alias("x"), F.col("ly").alias("y")))
     nodes = _relabelled(nodes.select("node", "a", "b", "n", "min_doc"), labels, "node", "first")
     nodes = _relabelled(nodes, joined, "first", "component").drop("first")
@@ -246,21 +327,33 @@ def _resolved(df: DataFrame, words: int, id_col: str, text_col: str) -> tuple[Da
 
 def deduplicate(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's doc_id, n_shingles, component_id (the smallest doc_id that it reaches) and kept (whether it is that one)."""
-    rows, nodes = _resolved(df, words, id_col, text_col)
+    rows, nodes = _resolved(df.select(named(id_col), named(text_col)), words, id_col, text_col)
     met = rows.drop("__sketch").join(nodes.select("a", "b", "component_id"), (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b")) & (F.col("__n") > 0), "left")
     component: Column = F.when(F.col("__n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return met.select("doc_id", F.col("__n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without words, and of each component one row, with the smallest doc_id; columns unchanged."""
-    names = df.columns
-    _, nodes = _resolved(df, words, id_col, text_col)
+    """The rows of ``df`` without words, and of each component one row, with the smallest doc_id; columns unchanged.
+
+    Which rows go is decided on their keys alone; texts are read once more at the end and
+    only move if there are too many of these keys to broadcast.
+    """
+    rows, nodes = _resolved(df, words, id_col, text_col)
     best = nodes.where(F.col("min_doc").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min(F.struct("min_doc", "a", "b")).alias("k")).select("k.*")
-    marked = with_sets(df, text_col, words, "text")
-    chosen = marked.where("__n > 0").join(best, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b")) & marked[id_col].eqNullSafe(F.col("min_doc")), "left_semi")
-    one = chosen.dropDuplicates(["__a", "__b"])
-    return one.select(*[f"`{c}`" for c in names]).unionByName(marked.where("__n = 0").select(*[f"`{c}`" for c in names]))
+    same = (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("min_doc"))
+    one = rows.where("__n > 0").join(best, same).groupBy("__a", "__b").agg(F.min(F.struct("__k0", "__k1")).alias("k")).select("k.*")
+    keyed = rows.where("__n > 0").groupBy("__k0", "__k1").agg(F.count(F.lit(1)).alias("__rows"))
+    kept = one.withColumn("__kept", F.lit(True))
+    fate = cut(keyed.join(kept, ["__k0", "__k1"], "left").where("__kept IS NULL OR __rows > 1").select("__k0", "__k1", F.coalesce("__kept", F.lit(False)).alias("__kept")), "fate")
+    counts = {r["__kept"]: r["count"] for r in fate.groupBy("__kept").count().collect()}  # two rows
+    key = fresh(df, "k0", "k1")
+    marked = df.withColumns(dict(zip(key, row_key(df), strict=True)))
+    gone = fate.select(F.col("__k0").alias(key[0]), F.col("__k1").alias(key[1]), "__kept")
+    out = marked.join(small_side(gone.drop("__kept"), sum(counts.values())), key, "left_anti")
+    if counts.get(True):  # kept rows that are there several times, equal in all columns
+        out = out.unionByName(marked.join(gone.where("__kept").drop("__kept"), key, "left_semi").dropDuplicates(key))
+    return out.select(*[named(c) for c in df.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
-"""64-bit hashes of words and of runs of words, for many texts at a time, in numpy.
+"""Hashes of words and of runs of words, for many texts at a time.
 
-A run of bytes is hashed by its polynomial in an odd base modulo 2**64, from prefix sums
-over the whole buffer, and mixed. All arithmetic wraps, so the result depends on the
-bytes alone.
+Sets of shingles are made of 128-bit BLAKE2 digests of the words, as two numbers of 64
+bits that are combined into two independent hashes of each run of words. ``run_hashes``
+is a cheaper hash of runs of bytes, their polynomial in an odd base modulo 2**64, from
+prefix sums over the whole buffer. Words can be built that collide under it, so that it
+only serves where features share buckets anyway.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
@@ -58,26 +62,51 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(texts) or b"\n", dtype=np.uint8), starts
 
 
-def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """Of each text the sorted distinct hashes of its runs of ``size`` words, ASCII letters in lower case.
+class Digests(dict):
+    """128-bit digests of words, kept for short words up to a bound."""
+
+    KEPT, LONGEST = 200_000, 32
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[word] = digest
+        return digest
+
+
+_digests = Digests()
+_LOWER = LOWER.tobytes()
+
+
+def _combined(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` of ``words`` in a row."""
+    size = len(words) - n + 1
+    runs = np.full(size, n, dtype=np.uint64)
+    for k in range(n):
+        runs = mix(runs * np.uint64(BASE) + words[k : k + size])
+    return runs
+
+
+def shingles(texts: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its distinct runs of ``size`` words, ASCII letters in lower case, by two independent hashes.
 
-    A text with fewer words has one run, all of them; one without words has none. The
-    hashes have 63 bits, so that they order alike as signed integers.
+    The first hash has 63 bits, so that it orders alike as a signed integer, and is in
+    ascending order; the second has 64 and is that of the same run. A text with fewer
+    words has one run, all of them; one without words has none.
     """
-    data, starts = joined(texts)
-    data = LOWER[data]
-    first, end = word_runs(~IS_SPACE[data])
-    words = run_hashes(data, first, end)
-    bounds = np.searchsorted(first, starts)
+    split = [t.translate(_LOWER).split() for t in texts]  # at 0x20 and 0x09 to 0x0D
+    ends = np.cumsum([0, *map(len, split)])
+    digests = np.frombuffer(b"".join([_digests[w] for words in split for w in words]), dtype="<u8").reshape(-1, 2)
+    one, two = digests[:, 0].copy(), digests[:, 1].copy()
+    whole = [_combined(h, size) for h in (one, two)] if len(one) >= size else []
     out = []
-    for i in range(len(texts)):
-        own = words[bounds[i] : bounds[i + 1]]
-        n = min(size, len(own))
-        if not n:
-            out.append(np.zeros(0, dtype=np.int64))
-            continue
-        runs = np.full(len(own) - n + 1, n, dtype=np.uint64)
-        for k in range(n):
-            runs = mix(runs * np.uint64(BASE) + own[k : len(own) - n + 1 + k])
-        out.append(np.unique(runs >> np.uint64(1)).astype(np.int64))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if b - a >= size:
+            first, second = (h[a : b - size + 1] for h in whole)
+        else:
+            first, second = (_combined(h[a:b], b - a) if b > a else h[:0] for h in (one, two))
+        values, at = np.unique(first >> np.uint64(1), return_index=True)
+        out.append((values.astype(np.int64), second[at]))
     return out
