@@ -19,12 +19,12 @@ that many texts hold go there only with texts that consist of little else.
    prefixes of X and Y in one order have a value in common, which another inverted list
    over (p, value) finds; near copies of one text differ from it in different places, and
    few of them meet there.
-3. Only labels are asked for, not all links of a group, so these lists are worked off in
-   rounds: all nodes of a list are paired with ``REPS`` of it, the nearest to p and some
-   drawn by hash, what is linked gets one label, and lists with one label are done with.
-   Then, in lists that still hold several, the nodes outside each list's most frequent
-   label are paired with all. As signatures of the sets already tell those pairs that
-   are linked from nearly all that are not, hardly any pair is left for that.
+3. Only labels are asked for, not all links of a group: the node nearest to p is paired
+   with all of the pivot's nodes first, and lists whose nodes have one label then are done
+   with. In the others the nodes outside each list's most frequent label are paired with
+   all. If that is much work, there are rounds before in which all nodes of a list are
+   paired with ``REPS`` of it and what is linked gets one label. As signatures of the sets
+   tell the pairs that are linked from nearly all that are not, hardly any others are left.
 4. All pairs pass the same filter and the same exact check; labels are joined up.
 
 Nothing is dropped or capped: the lists are exact but for the chance that the sketches
@@ -42,16 +42,16 @@ no rows; other columns, whatever their names, are ignored, or passed on by ``kee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe import slices
-from .common import cut, fresh, named, row_key, small_batches, small_side, table
+from .common import computed, cut, fresh, named, row_key, small_side, table
 from .hashing import mix, shingles
 
 SKETCH = 64
@@ -59,8 +59,9 @@ SIMILAR = 0.8
 MISSED = 2e-10
 #: Nodes of a pivot up to which they are paired one by one.
 SMALL = 48
-#: Nodes of a list that all of it is paired with in a round, and rounds at most; what they leave is paired in full.
-REPS, ROUNDS = 4, 3
+#: Nodes of a list that all of it is paired with in a round, rounds at most, and entries that an
+#: entry is paired with on average beyond which there is another round; what they leave is paired in full.
+REPS, ROUNDS, PAIRED = 4, 3, 1024
 STEP_BYTES = 1 << 18
 
 
@@ -93,27 +94,21 @@ def _parities(values: np.ndarray) -> list[int]:
 
 
 def with_sets(df: DataFrame, text: str, words: int, what: str) -> DataFrame:
-    """The columns of ``df`` but ``text``, with __a and __b (the set's identity), __n (its size) and, as ``what`` says, __sketch, or __set and its __bits.
+    """The columns of ``df`` but ``text``, with __a and __b (the set's identity), __n (its size) and, as ``what`` says, __sketch, or __set and its __bits."""
+    longs = T.ArrayType(T.LongType())
+    added = [T.StructField(c, T.LongType()) for c in ("__a", "__b", "__n")] + [T.StructField(c, longs) for c in {"sketch": ["__sketch"], "set": ["__set", "__bits"]}[what]]
 
-    ``df`` has no columns of these names."""
-    names = [c for c in df.columns if c != text]
-    added = ["__a", "__b", "__n"] + {"sketch": ["__sketch"], "set": ["__set", "__bits"]}[what]
+    def begin():
+        def work(texts: list[bytes], known: list[bool]) -> list[pa.Array]:
+            both = shingles(texts, words)
+            ids = [_identity(*s) for s in both]
+            made = [pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([len(s) for s, _ in both], pa.int64())]
+            made.append(pa.array([s[:SKETCH] if what == "sketch" else s for s, _ in both], pa.list_(pa.int64())))
+            return made if what == "sketch" else [*made, pa.array([_parities(s) for s, _ in both], pa.list_(pa.int64()))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in slices(batch.column(len(names)), STEP_BYTES):
-                both = shingles(texts, words)
-                ids = [_identity(*s) for s in both]
-                columns = [*batch.slice(start, len(texts)).columns[: len(names)], pa.array([a for a, _ in ids], pa.int64()), pa.array([b for _, b in ids], pa.int64()), pa.array([len(s) for s, _ in both], pa.int64())]
-                columns.append(pa.array([s[:SKETCH] if what == "sketch" else s for s, _ in both], pa.list_(pa.int64())))
-                if what == "set":
-                    columns.append(pa.array([_parities(s) for s, _ in both], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
+        return work
 
-    chosen = df.select(*[named(c) for c in names], named(text).cast("binary").alias("__source"))
-    zero = F.lit(0).cast("long")
-    like = [zero.alias(c) for c in added[:3]] + [F.array().cast("array<bigint>").alias(c) for c in added[3:]]
-    return small_batches(chosen).mapInArrow(run, df.select(*[named(c) for c in names], *like).schema)
+    return computed(df, named(text), added, begin, (text,), STEP_BYTES)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -167,17 +162,10 @@ def _small_pairs(group: DataFrame) -> DataFrame:
     return x.join(y, "pivot").where("x < y AND lx != ly AND 100 * least(nx, ny) >= 80 * greatest(nx, ny)").select("x", "y").distinct()
 
 
-def _prefixes(group: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For pivots with many nodes: pairs that are paired anyway, and lists of what nodes differ from their pivot in; see the module's text.
+def _apart(group: DataFrame, sets: DataFrame) -> DataFrame:
+    """pivot, node, n, first, bits, d and diff (what differs from the reference, d values) of each node of pivots with many; see the module's text.
 
-    The reference p is what half of the pivot's nodes have of the pivot. With a and b
-    the sizes of X and Y, a <= b, and sizes nx and ny within a factor of 1.25, linked x
-    and y share c >= (a + b - (nx + ny) / 9) / 2 values of X and Y. Where that is not
-    over zero the two are linked for certain. The node with the greatest n - 9 a, r, is
-    paired with all others; any two nodes that aren't both linked to it for certain have
-    c over zero. As seen from x, c is at least a - nx / 8 and (a + (r - 1.25 nx) / 9) / 2,
-    as seen from y, as a >= c, b - ny / 4: the entries before ``near`` are x's in the role
-    of x, and all are its own in the role of y.
+    The reference p is what half of the pivot's nodes have of the pivot.
     """
     own = sets.select("node", F.col("set").alias("own"), "bits")
     hub = sets.select(F.col("node").alias("pivot"), F.col("set").alias("hub"))
@@ -190,14 +178,26 @@ def _prefixes(group: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = group.join(own, "node").join(middle, "pivot", "left").withColumn("mid", F.coalesce("mid", F.array().cast("array<bigint>")))
     # one order for all nodes of a pivot: what they add, mostly theirs alone, then what they lack, first what few lack
     apart = met.withColumn("diff", F.concat(F.array_sort(F.array_except("own", "mid")), F.array_except("mid", "own")))
-    sized = cut(apart.select("pivot", "node", "n", "bits", F.size("diff").alias("d"), "diff"), "apart")
-    best = sized.groupBy("pivot").agg(F.min_by("node", F.struct(9 * F.col("d") - F.col("n"), "node")).alias("best"), F.max(F.col("n") - 9 * F.col("d")).alias("r"))
-    best = cut(best, "best")
-    sure = sized.select("pivot", "node").join(best, "pivot").where("node != best").select(F.least("node", "best").alias("x"), F.greatest("node", "best").alias("y"))
+    return cut(apart.select("pivot", "node", "n", F.col("label").alias("first"), "bits", F.size("diff").alias("d"), "diff"), "apart")
+
+
+def _entries(apart: DataFrame, best: DataFrame) -> DataFrame:
+    """Lists of the values that nodes differ in from the reference.
+
+    With a and b the sizes of X and Y, a <= b, and sizes nx and ny within a factor of
+    1.25, linked x and y share c >= (a + b - (nx + ny) / 9) / 2 values of X and Y. Where
+    that is not over zero the two are linked for certain. The node with the greatest
+    n - 9 a, r, has been paired with all others; any two nodes that aren't both linked to
+    it for certain have c over zero. As seen from x, c is at least a - nx / 8 and
+    (a + (r - 1.25 nx) / 9) / 2, as seen from y, as a >= c, b - ny / 4: the entries before
+    ``near`` are x's in the role of x, and all are its own in the role of y.
+    """
+    n_parts = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least_near = "greatest(1, CAST(ceil(greatest(d - n / 8, (d + (r - 1.25 * n) / 9) / 2) - 1e-9) AS int))"
     least_far = "greatest(1, CAST(ceil(d - n / 4 - 1e-9) AS int))"
-    prefix = sized.join(best, "pivot").repartition(n_parts, "pivot", "node").selectExpr("pivot", "node", "n", "bits", "d", f"d - {least_near} + 1 AS near", f"slice(diff, 1, greatest(0, d - {least_far} + 1)) AS far")
-    return sure.distinct(), cut(prefix.select("pivot", "node", "n", "bits", "d", "near", F.posexplode("far").alias("at", "v")), "prefix")
+    even = apart.join(best, "pivot").repartition(n_parts, "pivot", "node")
+    far = even.selectExpr("pivot", "node", "n", "first", "label", "bits", "d", f"d - {least_near} + 1 AS near", f"slice(diff, 1, greatest(0, d - {least_far} + 1)) AS far")
+    return far.select("pivot", "node", "n", "first", "label", "bits", "d", "near", F.posexplode("far").alias("at", "v"))
 
 
 _ENTRY = ("n", "label", "bits", "d", "at", "near")
@@ -219,10 +219,11 @@ def _met(xs: DataFrame, ys: DataFrame) -> DataFrame:
 
 
 def _several(entries: DataFrame) -> DataFrame:
-    """The entries of lists with more than one label; adds the list's most frequent label as ``most``."""
+    """The entries of lists with more than one label, with the list's most frequent label as ``most`` and the number of entries that it is paired with in the end as ``against``."""
     by_label = entries.groupBy("pivot", "v", "label").agg(F.count(F.lit(1)).alias("k"))
-    lists = by_label.groupBy("pivot", "v").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    return entries.join(lists.select("pivot", "v", "most"), ["pivot", "v"])
+    lists = by_label.groupBy("pivot", "v").agg(F.max_by("label", F.struct("k", "label")).alias("most"), F.max("k").alias("top"), F.sum("k").alias("length")).where("top < length")
+    against = F.when(F.col("label") == F.col("most"), F.col("length") - F.col("top")).otherwise(F.col("length"))
+    return cut(entries.drop("most", "against").join(lists, ["pivot", "v"]).withColumn("against", against).drop("top", "length"), "mixed")
 
 
 def _represented(entries: DataFrame, turn: int) -> DataFrame:
@@ -242,36 +243,31 @@ def _large_links(group: DataFrame, sets: DataFrame, nodes: DataFrame) -> list[Da
     def checked(pairs: DataFrame) -> DataFrame:
         return cut(_verified(cut(_estimated(cut(pairs, "rest"), nodes), "near"), sets), "links")
 
-    sure, prefix = _prefixes(group.select("pivot", "node", "n", "many"), sets)
-    first = cut(group.select("node", F.col("label").alias("first")).distinct(), "first")
-    found: list[DataFrame] = []
-
-    def mixed() -> DataFrame:
-        joined = components(_by_label(found, first))
-        label = _relabelled(first, joined, "first", "label").select("node", "label")
-        return cut(_several(prefix.join(label, "node")), "mixed")
-
-    found.append(checked(sure))
-    left = mixed()
+    apart = _apart(group, sets)
+    first = apart.select("node", "first").distinct()
+    best = apart.groupBy("pivot").agg(F.min_by("node", F.struct(9 * F.col("d") - F.col("n"), "node")).alias("best"), F.max(F.col("n") - 9 * F.col("d")).alias("r"))
+    best = cut(best, "best")
+    sure = apart.select("pivot", "node").join(best, "pivot").where("node != best").select(F.least("node", "best").alias("x"), F.greatest("node", "best").alias("y"))
+    found = [checked(sure.distinct())]
+    left = _several(_entries(_relabelled(apart, components(_by_label(found, first)), "first", "label"), best))
     for turn in range(ROUNDS):
-        if left.isEmpty():
+        work, many = left.agg(F.sum("against"), F.count(F.lit(1))).head()
+        if not many:
             return found
-        more = checked(_represented(left.drop("most"), turn))
-        if more.isEmpty():
+        if work <= PAIRED * many:
+            break
+        found.append(checked(_represented(left, turn)))
+        if found[-1].isEmpty():
             break
-        found.append(more)
-        left = mixed()
+        left = _several(_relabelled(left.drop("label"), components(_by_label(found, first)), "first", "label"))
     # all that is left: what isn't of a list's most frequent label with everything, in either role
     own, other = left.where("label = most"), left.where("label != most")
-    found.append(checked(_met(other, left).unionByName(_met(own, other)).distinct()))
-    return found
+    return [*found, checked(_met(other, left).unionByName(_met(own, other)).distinct())]
 
 
 def _by_label(links: list[DataFrame], first: DataFrame) -> DataFrame:
     """All of ``links`` between the labels that their nodes had at first."""
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
+    every = reduce(DataFrame.unionByName, links)
     x, y = first.toDF("x", "lx"), first.toDF("y", "ly")
     return every.join(x, "x").join(y, "y").select(F.col("lx").alias("x"), F.col("ly").alias("y"))
 
@@ -302,9 +298,12 @@ def link(df: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "tex
     sets = cut(found.join(wanted, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b"))).groupBy("node").agg(F.first("__set").alias("set"), F.first("__bits").alias("bits")), "sets")
     labels = components(_verified(near, sets))
 
-    # what is left among the nodes of a pivot
-    group = star.join(nodes.select("node", "n"), "node")
-    group = _relabelled(_relabelled(group, labels, "node", "label"), labels, "pivot", "hub")
+    # what is left among the nodes of a pivot; pivots of one label are one, that with the most nodes
+    hubs = _relabelled(star.groupBy("pivot").agg(F.count(F.lit(1)).alias("own")), labels, "pivot", "hub")
+    chief = hubs.groupBy("hub").agg(F.max_by("pivot", F.struct("own", "pivot")).alias("chief"))
+    chief = cut(hubs.select("pivot", "hub").join(chief, "hub").select("pivot", "chief", "hub"), "chiefs")
+    group = star.join(chief, "pivot").select(F.col("chief").alias("pivot"), "hub", "node").distinct().join(nodes.select("node", "n"), "node")
+    group = _relabelled(group, labels, "node", "label")
     sizes = group.groupBy("pivot").agg(F.count(F.lit(1)).alias("many"), F.max(F.col("label") != F.col("hub")).alias("mixed")).where("mixed AND many > 1")
     group = cut(group.join(sizes, "pivot").select("pivot", "node", "n", "label", "many"), "group")
     rest = _small_pairs(group.where(F.col("many") <= SMALL))
