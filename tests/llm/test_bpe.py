@@ -1,5 +1,6 @@
 """Encoding and decoding against the library's own."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -33,15 +34,40 @@ def test_certain_cuts(tokenizer):
     assert all(codec.certain[a][b] == ((a, b) not in inside) for a in range(256) for b in range(256))
 
 
+def long_texts():
+    r = random.Random(5)
+    texts = ["foo,bar;baz(qux)\x00zz", " " * 3000 + "x", "\n" * 2000, "ab" * 700, "日本語テキスト" * 300, "=" * 4097, "a" * 999, "-" * 1001 + "=" * 1003]
+    texts += ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5000)), "".join(r.choices("aab ", k=3000))]
+    return texts + ["".join(chr(r.randrange(a, b)) for _ in range(3000)) for a, b in ((0x4E00, 0x9FFF), (32, 0x2FFF))]
+
+
+def test_long_fragments(tokenizer, monkeypatch):
+    library = Tokenizer.from_file(tokenizer)
+    want = [e.ids for e in library.encode_batch(long_texts(), add_special_tokens=False)]
+    codec = bpe.ForcedBoundaryBPE(open(tokenizer, encoding="utf-8").read())
+    assert codec.ordered
+    assert [ids_of(x) for x in codec.encode_batch([t.encode() for t in long_texts()])] == want
+    monkeypatch.setattr(bpe, "LONG", 3)  # all but the shortest rank by rank
+    codec.known.clear()
+    assert [ids_of(x) for x in codec.encode_batch([t.encode() for t in long_texts()])] == want
+
+
+def test_a_million_without_a_cut(tokenizer):
+    codec = bpe.ForcedBoundaryBPE(open(tokenizer, encoding="utf-8").read())
+    spaces = b" " * 1_200_000
+    assert codec.decode(codec.encode_batch([spaces])[0]) == spaces
+
+
 def test_frames(spark, docs, tokenizer):
     library = Tokenizer.from_file(tokenizer)
     rows = [(1, None), (2, ""), (3, "Hello  world"), (3, "Hello  world"), (None, "x " * 50_000), (4, " \n ")]
-    got = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe.digests(docs(rows), tokenizer).collect()}
-    import hashlib
-
-    want = {(i, len(library.encode(t or "", add_special_tokens=False).ids), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows}
+    got = sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs(rows), tokenizer).collect())
+    ids = {t: library.encode(t or "", add_special_tokens=False).ids for _, t in rows}
+    want = sorted((i or 0, len(ids[t]), hashlib.sha256(np.array(ids[t], dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert got == want
     assert bpe.digests(docs(rows).where("false"), tokenizer).count() == 0
     clash = docs(rows).withColumnRenamed("lang", "ids").withColumnRenamed("source", "decoded")
     out = bpe.decode(bpe.encode(clash, tokenizer), tokenizer)
     assert sorted((r.text or "", r.decoded) for r in out.collect()) == sorted((t or "", t or "") for _, t in rows)
+    odd = docs(rows).withColumnRenamed("lang", "a.b").withColumnRenamed("source", "__source")
+    assert sorted(r.n for r in bpe.encode(odd, tokenizer).selectExpr("octet_length(ids) AS n").collect()) == sorted(4 * n for _, n, *_ in want)

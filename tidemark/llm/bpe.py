@@ -1,42 +1,53 @@
 """Byte-level BPE by forced-boundary splitting.
 
 A pair of bytes that lies inside no vocabulary token can lie inside no merge, so a
-cut between the two is certain. Where the left byte also ends a character that is
-not white space and the right one is ASCII white space, the pattern that splits text
-before the merges cuts there too, whatever surrounds it. Texts fall into fragments at
-these cuts; every distinct fragment is encoded alone, once for each worker's cache,
-and the ids of a text are its fragments' ids in a row. A text of any length is handled
-a fragment at a time. New fragments that begin with a space and end without one are
-encoded in one string, as the cuts between them are certain again, and told apart by the
-lengths of their tokens.
+cut between the two is certain. Texts are cut before white space first (a cut that the
+pattern which splits text before the merges makes too, whatever surrounds it), and
+stretches that are known already are looked up. New ones are split by the pattern, each
+piece is cut at all of its certain pairs, every distinct fragment is merged alone, and the
+ids are concatenated. No library takes part.
+
+Short fragments merge one pair at a time. Fragments without a certain pair may be as
+long as a text (a run of white space, or of letters); there all places of a rank are
+merged at once, rank by rank, so that time grows with the length and not its square.
+That is the same order as long as no merge uses what a later one makes, which the
+constructor looks up; other vocabularies merge one pair at a time throughout.
 
 Defined cases: null text encodes as the empty text (no ids, empty decoded text); the
 strings of special tokens are single ids, as in the library; bytes that are not UTF-8
-count as U+FFFD. Other columns pass through.
+count as U+FFFD; texts of any length are encoded whole; equal rows are encoded alike, each
+one; an empty table gives no rows. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import computed, named, table
 
 #: Fixed value: the pattern by which byte-level BPE splits text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACES = b"\t\n\x0b\x0c\r "
 #: Last bytes of the characters above ASCII that count as white space, each with what precedes it.
 WIDE_SPACES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
-CACHE = 100_000
-#: Longer fragments are not kept in the cache.
+#: Stretches, and fragments of them, whose ids a worker keeps (a fragment that is a whole
+#: stretch elsewhere has the same ids there); longer ones are not kept.
+CACHE = 200_000
 CACHED_BYTES = 64
+#: Fragments of more bytes are merged rank by rank.
+LONG = 200
+#: Rank of a pair that no merge joins.
+NONE = np.iinfo(np.int32).max
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -65,67 +76,149 @@ class ForcedBoundaryBPE:
         for raw, i in self.special.items():
             self.token[i] = raw
         #: certain[a][b]: no token holds byte a followed by byte b.
-        self.certain = [[(a, b) not in inside for b in range(256)] for a in range(256)]
-        self.sure_end = [all(row[s] for s in SPACES) for row in self.certain]
-        self.length = np.array([len(t) for t in self.token])
-        self.fragments = re.compile(self._pattern())
-        self.model = self._model(spec, tokenizer_json)
+        self.certain = np.ones((256, 256), dtype=bool)
+        self.certain[tuple(zip(*inside, strict=True))] = False
+        self.sure_end = self.certain[:, list(SPACES)].all(axis=1)
+        self.stretches = re.compile(self._pattern())
+        self.pieces = regex.compile(PATTERN).findall
+        self._merges(spec["model"], [symbol_ for symbol_, _ in sorted(symbol.items(), key=lambda x: x[1])], size)
         self.specials = re.compile(b"|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.cache: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    def _merges(self, model: dict, symbols: list[str], size: int) -> None:
+        vocab = model["vocab"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.byte = np.array([vocab[c] for c in symbols], dtype=np.int32)
+        self.left, self.right, self.result = (np.array([vocab[t] for t in column], dtype=np.int32) for column in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
+        self.rank = {pair: k for k, pair in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True))}
+        self.results, self.bytes = self.result.tolist(), self.byte.tolist()
+        codes = self.left.astype(np.int64) * size + self.right
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.code_rank, self.size = codes[order], order.astype(np.int32), size
+        made = np.full(size, -1)
+        np.maximum.at(made, self.result, np.arange(len(pairs)))
+        #: Whether all that a merge joins is made by earlier ones.
+        self.ordered = bool((np.maximum(made[self.left], made[self.right]) < np.arange(len(pairs))).all())
 
     def _pattern(self) -> bytes:
-        """Fragments: white space, then a run without it, then on over every white space before which no cut is certain."""
+        """Stretches: white space, then a run without it, then on over every white space before which no cut is certain."""
         unsure = [b for b in range(256) if b not in SPACES and not self.sure_end[b]]
         held = WIDE_SPACES + ([b"[" + b"".join(re.escape(bytes([b])) for b in unsure) + b"]"] if unsure else [])
         behind = b"|".join(b"(?<=" + h + b")" for h in held)
         return rb"[\t-\r ]*[^\t-\r ]+(?:(?:" + behind + rb")[\t-\r ]+[^\t-\r ]*)*|[\t-\r ]+"
 
-    def _model(self, spec: dict, tokenizer_json: str):
-        """A function from a text without special tokens to its ids as an array."""
-        vocab, plain = spec["model"]["vocab"], {t: i for i, t in enumerate(self.token) if t and t not in self.special}
-        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
-        if merged == sorted(merged) and len(plain) == 256 + len(merged):  # a token's id is also its merge's rank
-            import tiktoken
-
-            ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
-            return lambda text: ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4")
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_str(tokenizer_json)
-        library.no_truncation()
-        library.no_padding()
-        return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def _short(self, raw: bytes) -> list[int]:
+        """Ids of a fragment: the pair of least rank, the leftmost of its kind, is joined until none is left."""
+        ids, rank = [self.bytes[b] for b in raw], self.rank.get
+        ranks = [rank(p, NONE) for p in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            least = min(ranks)
+            if least == NONE:
+                break
+            i = ranks.index(least)
+            ids[i : i + 2] = [self.results[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NONE)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NONE)
+        return ids
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        codes = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.code_rank[at], NONE)
+
+    def _long(self, raw: bytes) -> np.ndarray:
+        """The same for a long fragment, all places of a rank at once."""
+        ids = self.byte[np.frombuffer(raw, dtype=np.uint8)]
+        n = len(ids)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        todo: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+
+        def add(starts: np.ndarray) -> None:
+            starts = starts[after[starts] < n]
+            ranks = self._ranks(ids[starts], ids[after[starts]])
+            starts, ranks = starts[ranks != NONE], ranks[ranks != NONE]
+            if not len(starts):
+                return
+            order = np.argsort(ranks, kind="stable")
+            starts, ranks = starts[order], ranks[order]
+            bounds = np.flatnonzero(np.diff(ranks)) + 1
+            for part, r in zip(np.split(starts, bounds), ranks[np.concatenate([[0], bounds])].tolist(), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(todo, r)
+                places[r].append(part)
+
+        add(np.arange(n, dtype=np.int32))
+        while todo:
+            r = heapq.heappop(todo)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[ids[at] == self.left[r]]  # joined bytes have the id -1
+            at = at[after[at] < n]
+            at = at[ids[after[at]] == self.right[r]]
+            if len(at) > 1 and self.left[r] == self.right[r]:  # of a run of overlapping places, every second
+                begins = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                count = np.arange(len(at))
+                at = at[(count - np.maximum.accumulate(np.where(begins, count, 0))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            ids[at], ids[gone] = self.result[r], -1
+            beyond = after[gone]
+            after[at] = beyond
+            before[beyond[beyond < n]] = at[beyond < n]
+            add(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+        return ids[ids >= 0]
+
+    def _fragment(self, raw: bytes) -> bytes:
+        ids = self.known.get(raw)
+        if ids is None:
+            if len(raw) > LONG and self.ordered:
+                return self._long(raw).astype("<u4").tobytes()
+            short = self._short(raw)
+            ids = struct.pack(f"<{len(short)}I", *short)
+            if len(raw) <= CACHED_BYTES:
+                self.known[raw] = ids
+        return ids
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        found, joint = {}, []
+        """Ids of stretches: split by the pattern, cut at all certain pairs, fragments merged one by one."""
+        found: dict[bytes, bytes] = {}
+        pieces: list[bytes] = []
+        counts = []
         for f in new:
-            if f[0] == 32 and f[-1] not in SPACES and self.sure_end[f[-1]] and f.isascii():
-                joint.append(f)
-            elif f in self.special:
-                found[f] = struct.pack("<I", self.special[f])
-            else:
-                found[f] = self.model(f.decode("utf-8", "replace")).tobytes()
-        if joint:
-            ids = self.model(b"".join(joint).decode())
-            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(f) for f in joint])) + 1
-            raw, at = ids.tobytes(), 0
-            for f, end in zip(joint, ends.tolist(), strict=True):
-                found[f] = raw[4 * at : 4 * end]
-                at = end
+            plain = (f[1:] if f[:1] == b" " else f).isalpha()  # one word of ASCII letters
+            own = [f] if plain else [p.encode() for p in self.pieces(f.decode("utf-8", "replace"))]
+            pieces += own
+            counts.append(len(own))
+        joined = b"".join(pieces)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        cut = np.concatenate([self.certain[data[:-1], data[1:]], [True]])
+        cut[ends - 1] = True
+        stops = np.flatnonzero(cut) + 1
+        last = np.searchsorted(stops, ends[np.cumsum(counts) - 1]) + 1  # fragments up to each stretch's end
+        starts = [0, *stops.tolist()]
+        ids = [self._fragment(joined[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+        at = 0
+        for f, end in zip(new, last.tolist(), strict=True):
+            found[f] = ids[at] if end - at == 1 else b"".join(ids[at:end])
+            at = end
         return found
 
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self._split(t) for t in texts]
-        known = self.cache
+        known = self.known
         if len(known) > CACHE:
             known.clear()
-        extra: dict[bytes, bytes] = {}
         missing = {f for parts in split for f in parts if f not in known}
-        step = 20_000
-        ordered = list(missing)
-        for at in range(0, len(ordered), step):
-            for f, ids in self._learn(ordered[at : at + step]).items():
+        extra: dict[bytes, bytes] = {f: struct.pack("<I", self.special[f]) for f in missing if f in self.special}
+        if missing := list(missing.difference(extra)):
+            for f, ids in self._learn(missing).items():
                 (known if len(f) <= CACHED_BYTES else extra)[f] = ids
         if not extra:
             return [b"".join(map(known.__getitem__, parts)) for parts in split]
@@ -133,13 +226,13 @@ class ForcedBoundaryBPE:
 
     def _split(self, text: bytes) -> list[bytes]:
         if self.specials is None or not self.specials.search(text):
-            return self.fragments.findall(text)
+            return self.stretches.findall(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += self.fragments.findall(text[at : m.start()])
+            out += self.stretches.findall(text[at : m.start()])
             out.append(m[0])
             at = m.end()
-        return out + self.fragments.findall(text[at:])
+        return out + self.stretches.findall(text[at:])
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text, special tokens included."""
@@ -163,62 +256,39 @@ def _codec(tokenizer_json: str) -> ForcedBoundaryBPE:
     return _built[key]
 
 
-#: Rows and bytes that are encoded at a time.
-STEP_ROWS, STEP_BYTES = 512, 1 << 20
-
-
-def slices(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Start and values (null: empty) of short runs of a binary column, bounded in rows and bytes."""
-    rows: list[bytes] = []
-    start = held = 0
-    for i, v in enumerate(column):
-        raw = v.as_py() or b""
-        rows.append(raw)
-        held += len(raw)
-        if len(rows) >= STEP_ROWS or held >= most:
-            yield start, rows
-            rows, held, start = [], 0, i + 1
-    if rows:
-        yield start, rows
-
-
-def _mapped(df: DataFrame, source: str, target: str, tokenizer_path: str, work) -> DataFrame:
+def _mapped(df: DataFrame, source: str, target: T.StructField, tokenizer_path: str, work) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
-    names = [c for c in df.columns if c != target]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         codec = _codec(shared.value)
-        for batch in batches:
-            for start, rows in slices(batch.column(len(names))):
-                part = batch.slice(start, len(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(work(codec, rows), pa.binary())], names=[*names, target])
+        return lambda rows, known: [work(codec, rows)]
 
-    chosen = df.select(*[df[c] for c in names], df[source].cast("binary").alias("__source"))
-    return small_batches(chosen).mapInArrow(run, chosen.drop("__source").withColumn(target, F.lit(b"")).schema)
+    return computed(df, named(source), [target], begin)
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds binary column ``ids``: the text's ids as little-endian unsigned 32-bit integers. Replaces a column of that name."""
-    return _mapped(df, text, ids, tokenizer_path, lambda codec, rows: codec.encode_batch(rows))
+    return _mapped(df, text, T.StructField(ids, T.BinaryType()), tokenizer_path, lambda codec, rows: pa.array(codec.encode_batch(rows), pa.binary()))
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds string column ``text``: what the ids decode to. Replaces a column of that name."""
-    out = _mapped(df, ids, text, tokenizer_path, lambda codec, rows: [codec.decode(r) for r in rows])
-    return out.withColumn(text, out[text].cast("string"))
+    decoded = lambda codec, rows: pa.array([codec.decode(r) for r in rows], pa.binary()).cast(pa.string())
+    return _mapped(df, ids, T.StructField(text, T.StringType()), tokenizer_path, decoded)
 
 
 def digests(df: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, ids, ids_sha256 and decoded_sha256 of every row's whole text."""
-    ids = encode(df.select(*keep, "text"), tokenizer_path).select(*keep, "ids")
-    both = decode(ids, tokenizer_path)
+    held = [named(c) for c in keep]
+    ids = encode(df.select(*held, named("text").alias("__text")), tokenizer_path, "__text", "__ids").select(*held, "__ids")
+    both = decode(ids, tokenizer_path, "__ids", "__decoded")
     return both.select(
-        *keep,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2(both["ids"], 256).alias("ids_sha256"),
-        F.sha2(both["decoded"].cast("binary"), 256).alias("decoded_sha256"),
+        *held,
+        (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
+        F.col("__ids").alias("ids"),
+        F.sha2("__ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 

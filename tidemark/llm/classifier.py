@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe import slices
-from .common import cut, small_batches, table
+from .common import computed, cut, named, slices, small_batches, table
 from .hashing import IS_SPACE, LOWER, joined, run_hashes, word_runs
 
 #: Labelled documents that the classifier is fitted on, about; features that it keeps, at most.
@@ -198,17 +198,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
 
 def evidence(docs: DataFrame, model: Linear, text: str = "text") -> DataFrame:
     """The columns of ``docs`` without ``text``, and the log-odds bad_logit and toxic_logit of each row."""
-    names = [c for c in docs.columns if c not in (text, "bad_logit", "toxic_logit")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in slices(batch.column(len(names)), STEP_BYTES):
-                z = shared.value.score(texts)
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns[: len(names)], pa.array(z[:, 0]), pa.array(z[:, 1])], names=[*names, "bad_logit", "toxic_logit"])
+    def begin():
+        def work(texts: list[bytes], known: list[bool]) -> list[pa.Array]:
+            z = shared.value.score(texts)
+            return [pa.array(z[:, k]) for k in range(len(TARGETS))]
+
+        return work
 
-    chosen = docs.select(*[docs[f"`{c}`"] for c in names], docs[text].cast("binary").alias("__source"))
-    return small_batches(chosen).mapInArrow(run, docs.select(*[f"`{c}`" for c in names], F.lit(0.0).alias("bad_logit"), F.lit(0.0).alias("toxic_logit")).schema)
+    return computed(docs, named(text), [T.StructField(f"{t}_logit", T.DoubleType()) for t in TARGETS], begin, (text,))
 
 
 def _logit(p: Column) -> Column:

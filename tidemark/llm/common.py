@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +68,51 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *parts) for seed in (0, 1)]
 
 
+#: Rows and bytes that Python works on at a time.
+STEP_ROWS, STEP_BYTES = 512, 1 << 20
+
+
+def slices(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Start and values (null: empty) of short runs of a binary column, bounded in rows and bytes."""
+    rows: list[bytes] = []
+    start = held = 0
+    for i, v in enumerate(column):
+        raw = v.as_py() or b""
+        rows.append(raw)
+        held += len(raw)
+        if len(rows) >= STEP_ROWS or held >= most:
+            yield start, rows
+            rows, held, start = [], 0, i + 1
+    if rows:
+        yield start, rows
+
+
+def computed(df: DataFrame, source: Column, added: list[T.StructField], begin: Callable[[], Callable], drop: tuple[str, ...] = (), most: int = STEP_BYTES) -> DataFrame:
+    """``df`` without ``drop`` and columns named like ``added``, then ``added``, made in Python from the binary column ``source``.
+
+    ``begin()`` is called once for each task and gives the function that makes a list of
+    Arrow arrays, one for each of ``added``, from a list of values (null: empty) and a list
+    that tells which of them are not null. Columns go to Python and back by position, so
+    their names don't matter.
+    """
+    new = [f.name for f in added]
+    names = [c for c in df.columns if c not in (*new, *drop)]
+    kept = [named(c).alias(f"c{i}") for i, c in enumerate(names)]
+    width = len(names)
+    labels = [*(f"c{i}" for i in range(width)), *(f"a{i}" for i in range(len(new)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
+        for batch in batches:
+            known = batch.column(width).is_valid().to_pylist()
+            for start, rows in slices(batch.column(width), most):
+                made = work(rows, known[start : start + len(rows)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(rows)).columns[:width], *made], names=labels)
+
+    schema = T.StructType([*df.select(*kept).schema.fields, *(T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added))])
+    return small_batches(df.select(*kept, source.cast("binary").alias("source"))).mapInArrow(run, schema).toDF(*names, *new)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``.
 

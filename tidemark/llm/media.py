@@ -19,14 +19,14 @@ windows at a time.
 Defined cases: null text is the empty text, whose payload is one block of padding; equal
 payloads have equal files and fingerprints; fingerprints say where spectra peak, so texts
 of a few letters that move no peak may share one; a null recording has a null payload and
-fingerprint; other columns pass through.
+fingerprint; texts of any length are stored and read whole; equal rows have equal values,
+each its own; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
-from .common import small_batches, table
+from .common import computed, named, table
 
 BLOCK = 576
 #: Follows the text; no UTF-8 text holds it.
@@ -138,20 +137,14 @@ def features(samples: bytes) -> np.ndarray:
 
 
 def _mapped(df: DataFrame, source: str, added: list[T.StructField], arrow: list[pa.DataType], work) -> DataFrame:
-    new = [f.name for f in added]
-    names = [c for c in df.columns if c not in new]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = batch.column(len(names)).is_valid().to_pylist()
-            for start, rows in slices(batch.column(len(names))):
-                done = [work(raw, ok) for raw, ok in zip(rows, known[start : start + len(rows)], strict=True)]
-                columns = batch.slice(start, len(rows)).columns[: len(names)]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array([d[i] for d in done], t) for i, t in enumerate(arrow)]], names=[*names, *new])
-
-    chosen = df.select(*[df[f"`{c}`"] for c in names], df[source].cast("binary").alias("__source"))
-    kept = df.select(*[f"`{c}`" for c in names]).schema.fields
-    return small_batches(chosen).mapInArrow(run, T.StructType([*kept, *added]))
+    def begin():
+        def each(rows: list[bytes], known: list[bool]) -> list[pa.Array]:
+            done = [work(raw, ok) for raw, ok in zip(rows, known, strict=True)]
+            return [pa.array([d[i] for d in done], t) for i, t in enumerate(arrow)]
+
+        return each
+
+    return computed(df, named(source), added, begin)
 
 
 def store(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
