@@ -83,3 +83,27 @@ def test_whole_pem_keys_go(docs):
     more = [(1, "\n".join([begin, *lines[:3], "c2hvcnQ="]) + "\n\nThis is text."), (2, f"{begin} is how a header looks."), (3, f"{begin}\n{lines[0]}\n{forms[0]}\nx")]
     out = {x.doc_id: x.text for x in secrets.redact(docs(more)).collect()}
     assert out == {1: "[pem]\n\nThis is text.", 2: "[pem] is how a header looks.", 3: "[pem]\n[pem]\nx"}
+
+
+def test_time_grows_with_the_length():
+    s = secrets.scanner(secrets.RULES)
+    near = lambda k: b"eyJ" * k + b" eyJaa.bb.cccccccc"
+    assert s.scan([near(100_000)]) == [[(300_001, 7, 300_018)]]  # quadratic work on this would take hours
+    dump = b"0a" * 200_000
+    assert s.scan([dump, b"token=" + dump]) == [[(0, 2, 400_000)], [(0, 0, 400_006), (6, 2, 400_006)]]
+    heads = b"x: -----BEGIN PRIVATE KEY-----" * 5000
+    assert len(s.scan([heads])[0]) == 5000
+
+
+def test_rules_end_with_their_tails():
+    with pytest.raises(ValueError, match="must end"):
+        secrets.Scanner((secrets.Rule("odd", "a(ba*)?", "b"), secrets.Rule("odder", "x", "(y|z.*w)")))
+
+
+def test_empty_table_and_odd_columns(docs):
+    df = docs([(1, "token=abcdefghijklmnop", "en", "s"), (2, None), (2, None)]).withColumnRenamed("lang", "a.b").withColumnRenamed("source", "__source")
+    assert secrets.scan(df).columns == [*df.columns, "spans"]
+    assert sorted(len(r.spans) for r in secrets.scan(df).collect()) == [0, 0, 1]
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns and sorted(r.text or "" for r in clean.collect()) == ["", "", "[assign]"]
+    assert secrets.scan(df.where("false")).count() == 0 and secrets.redact(df.where("false")).count() == 0

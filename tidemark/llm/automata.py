@@ -103,6 +103,17 @@ class Parser:
         return set(range(256)) - members if negated else members
 
 
+def backwards(node: Node) -> Node:
+    """The tree of the same matches, read from their last byte to their first."""
+    if node[0] == "cat":
+        return ("cat", [backwards(n) for n in reversed(node[1])])
+    if node[0] == "alt":
+        return ("alt", [backwards(n) for n in node[1]])
+    if node[0] == "rep":
+        return ("rep", backwards(node[1]), *node[2:])
+    return node
+
+
 class Nfa:
     """Thompson construction: moves on sets of bytes, and empty moves."""
 
@@ -183,8 +194,8 @@ class Dfa:
         return n
 
 
-def compile_rules(patterns: list[str], anywhere: bool) -> Dfa:
-    """One minimal automaton for all patterns; with ``anywhere`` a match may start at every byte.
+def compile_rules(patterns: list[str], anywhere: bool, reverse: bool = False) -> Dfa:
+    """One minimal automaton for all patterns; with ``anywhere`` a match may start at every byte, with ``reverse`` it reads them from the end.
 
     Without it, state 0 is the start and one state without a way out is reached when no
     match can follow.
@@ -195,7 +206,8 @@ def compile_rules(patterns: list[str], anywhere: bool) -> Dfa:
     for rule, pattern in enumerate(patterns):
         first = nfa.state()
         nfa.empty[start].append(first)
-        ends[nfa.add(Parser(pattern).parse(), first)] = rule
+        tree = Parser(pattern).parse()
+        ends[nfa.add(backwards(tree) if reverse else tree, first)] = rule
     if anywhere:
         nfa.moves[start].append((frozenset(range(256)), start))
 

@@ -1,17 +1,23 @@
 """Secret scans: all rules in one pass of one deterministic automaton over the bytes.
 
-Rules are a head and a tail, a run of one class of bytes. Their patterns are compiled
-together by subset construction and minimisation into one transition array, which says
-for each run of bytes between two that no match can hold (line ends, most punctuation,
-everything above ASCII) which rules match in it. Many runs step through the array side
-by side. Only in a run where a rule has matched, that rule's own automaton then finds
-the leftmost, longest matches that do not overlap, and those whose tail or whole is too
-short are dropped. A rule may go on beyond its run: the header of a PEM key is found in
-its run, and the span then goes on over lines of base64 to the END line (``pem_end``).
+Rules are a head and a tail, a run of one class of bytes. Their patterns, read backwards,
+are compiled together by subset construction and minimisation into one transition array.
+It reads each text once, from its end to its beginning, and tells for every byte which
+rules have a match that begins there. Bytes that no match can hold (line ends, most
+punctuation, everything above ASCII) part the text into runs, and many runs step through
+the array side by side. From the first such byte of a rule, the rule's own automaton
+follows the match to its end; the next match begins at the first such byte after that.
+Once a match could end, a rule's automaton can only go on with the tail (the compiler
+makes sure of it), so nothing beyond matches is read again, and the time grows with the
+length of the text whatever it holds. These are the leftmost, longest matches that do not
+overlap; those whose tail or whole is too short are dropped. A rule may go on beyond its
+run: the header of a PEM key is found in its run, and the span then goes on over lines of
+base64 to the END line (``pem_end``).
 
 Defined cases: null and empty texts have no spans; positions are code points, the end
-exclusive; spans of different rules may overlap; equal rows are scanned alike; other
-columns pass through.
+exclusive; spans of different rules may overlap; texts of any length are scanned whole;
+equal rows are scanned alike, each one; an empty table gives no rows; other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,14 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automata import Dfa, compile_rules
-from .bpe import slices
-from .common import small_batches, table
+from .common import computed, named, table
 
 
 #: Between pieces of a key: white space, line ends as they are escaped in strings, quotes, and marks of quoted or commented lines.
 _GAP = rb"""(?:\s|\\+[nrt]|["'`,>#*|;\\])*+"""
 _PIECE = re.compile(_GAP + rb"([A-Za-z0-9+/=]++)")
-_FIELD = re.compile(_GAP + rb"[A-Za-z][A-Za-z0-9\-]*+:[^\r\n\\]*+")
+_FIELD = re.compile(_GAP + rb"[A-Za-z][A-Za-z0-9\-]*+:(?:(?!-----)[^\r\n\\])*+")
 _END = re.compile(_GAP + rb"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 #: Pieces of at least so many characters belong to a key even where its END line is missing.
 LEAST_PIECE = 16
@@ -59,7 +64,7 @@ def pem_end(raw: bytes, at: int) -> int:
 class Rule:
     """A match is ``head`` and then one or more of ``tail``; it is kept with that many bytes of tail and in all.
 
-    ``seen`` is how many bytes of tail the combined automaton asks for before it reports the rule.
+    ``seen`` is how many bytes of tail the combined automaton asks for before it reports a beginning.
     """
 
     name: str
@@ -96,9 +101,13 @@ FEW = 96
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]) -> None:
         self.rules = rules
-        self.all = compile_rules([r.head + r.tail + "{%d}" % r.seen for r in rules], anywhere=True)
+        self.all = compile_rules([r.head + r.tail + "{%d}" % r.seen for r in rules], anywhere=True, reverse=True)
         self.each = [compile_rules([r.head + r.tail + "+"], anywhere=False) for r in rules]
         self.dead = [self._dead(d) for d in self.each]
+        for r, d, dead in zip(rules, self.each, self.dead, strict=True):
+            after = np.unique(d.next.reshape(-1, d.width)[d.accept > 0])
+            if any(s != dead and not d.accept[s] for s in after.tolist()):
+                raise ValueError(f"a match of {r.name} must end where its tail ends")
         self.resets = self.all.resets()
         self.shortest = self.all.shortest()
         self.rows = self.all.next.reshape(-1, self.all.width).tolist()
@@ -112,57 +121,64 @@ class Scanner:
         stuck = [s for s in range(len(table)) if not d.accept[s] and (table[s] == s).all()]
         return stuck[0] if stuck else -1
 
-    def runs(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and bits of the rules seen, of each run of bytes in which some rule matches."""
-        edge = np.concatenate([[True], self.resets[data], [True]])
-        at = np.flatnonzero(edge)
-        starts, lengths = at[:-1], np.diff(at) - 1
+    def beginnings(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes, in order, at which matches may begin, and the bits of the rules that have one there."""
+        at = np.flatnonzero(np.concatenate([[True], self.resets[data], [True]]))
+        lengths, last = np.diff(at) - 1, at[1:] - 2  # of each run, and its last byte
         long = lengths >= self.shortest
-        starts, lengths = starts[long], lengths[long]
+        lengths, last = lengths[long], last[long]
         order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
+        lengths, last = lengths[order], last[order]
         group, width = self.all.group[data], self.all.width
-        state = np.zeros(len(starts), dtype=np.int32)
-        seen = np.zeros(len(starts), dtype=np.int32)
-        active, step = len(starts), 0
+        state = np.zeros(len(last), dtype=np.int32)
+        found, kinds = [], []
+        active, step = len(last), 0
         shorter = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
         while active >= FEW:
-            now = self.all.next[state[:active] * width + group[starts[:active] + step]]
+            now = self.all.next[state[:active] * width + group[last[:active] - step]]
             state[:active] = now
-            seen[:active] |= self.all.accept[now]
+            bits = self.all.accept[now]
+            if bits.any():
+                hit = np.flatnonzero(bits)
+                found.append(last[hit] - step)
+                kinds.append(bits[hit])
             step += 1
             active = int(shorter[step]) if step < len(shorter) else 0
         rows, ends = self.rows, self.ends
         for k in range(active):
-            s, bits = int(state[k]), int(seen[k])
-            for g in group[starts[k] + step : starts[k] + lengths[k]].tobytes():
+            s, i, own, bits = int(state[k]), int(last[k]) - step, [], []
+            for g in group[last[k] - lengths[k] + 1 : i + 1].tobytes()[::-1]:
                 s = rows[s][g]
-                bits |= ends[s]
-            seen[k] = bits
-        hit = seen > 0
-        return starts[hit], starts[hit] + lengths[hit], seen[hit]
-
-    def matches(self, rule: int, raw: bytes) -> Iterator[tuple[int, int]]:
-        """Leftmost, longest, non-overlapping matches of one rule in a run that are long enough."""
+                if ends[s]:
+                    own.append(i)
+                    bits.append(ends[s])
+                i -= 1
+            found.append(np.array(own, dtype=np.int64))
+            kinds.append(np.array(bits, dtype=np.int32))
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        where, what = np.concatenate(found), np.concatenate(kinds)
+        order = np.argsort(where)
+        return where[order], what[order]
+
+    def matches(self, rule: int, raw: bytes, begin: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Of the matches of one rule that begin at some of ``begin`` in ``raw`` the leftmost, longest, non-overlapping ones that are long enough."""
         rows, ends, dead, kept = self.each_rows[rule], self.each_ends[rule], self.dead[rule], self.rules[rule]
-        groups = raw.translate(self.each[rule].group.tobytes())
-        at, n = 0, len(raw)
-        while at < n:
+        group, n, k = self.each[rule].group.tolist(), len(raw), 0
+        while k < len(begin):
+            at = int(begin[k])
             s, i, first, last = 0, at, -1, -1
             while i < n:
-                s = rows[s][groups[i]]
+                s = rows[s][group[raw[i]]]
                 i += 1
                 if ends[s]:
                     last = i
                     first = i if first < 0 else first
                 elif s == dead:
                     break
-            if last < 0:
-                at += 1
-                continue
             if last - first + 1 >= kept.least_tail and last - at >= kept.least:
                 yield at, last
-            at = last
+            k = int(np.searchsorted(begin, last))
 
     def scan(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """Of each text its (start, rule, end) in bytes, in order."""
@@ -170,16 +186,19 @@ class Scanner:
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if not joined:
             return found
+        where, what = self.beginnings(np.frombuffer(joined, dtype=np.uint8))
+        if not len(where):
+            return found
         bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
-        starts, ends, seen = self.runs(np.frombuffer(joined, dtype=np.uint8))
-        for a, b, bits in zip(starts.tolist(), ends.tolist(), seen.tolist(), strict=True):
-            doc = int(np.searchsorted(bounds, a, side="right")) - 1
-            raw, shift = joined[a:b], a - int(bounds[doc])
-            for rule in range(len(self.rules)):
-                if bits >> rule & 1:
-                    beyond = self.rules[rule].beyond
-                    for x, y in self.matches(rule, raw):
-                        found[doc].append((shift + x, rule, beyond(texts[doc], shift + y) if beyond else shift + y))
+        for rule, r in enumerate(self.rules):
+            begin = where[what >> rule & 1 > 0]
+            if not len(begin):
+                continue
+            first = np.searchsorted(begin, bounds)
+            for doc in np.flatnonzero(np.diff(first)).tolist():
+                raw = texts[doc]
+                for x, y in self.matches(rule, raw, begin[first[doc] : first[doc + 1]] - bounds[doc]):
+                    found[doc].append((x, rule, r.beyond(raw, y) if r.beyond else y))
         for spans in found:
             spans.sort()
         return found
@@ -205,41 +224,34 @@ ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
 
 def scan(df: DataFrame, text: str = "text", spans: str = "spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds ``spans``: kind, start and end of every match, by start and then by the order of the rules. Replaces a column of that name."""
-    names = [c for c in df.columns if c != spans]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         s = scanner(rules)
-        for batch in batches:
-            for start, texts in slices(batch.column(len(names))):
-                out = []
-                for raw, found in zip(texts, s.scan(texts), strict=True):
-                    points = _points(raw) if found else None
-                    out.append([{"kind": rules[r].name, "start": int(points[a]), "end": int(points[b])} for a, r, b in found])
-                yield pa.RecordBatch.from_arrays([*batch.slice(start, len(texts)).columns[: len(names)], pa.array(out, ARROW_SPANS)], names=[*names, spans])
 
-    chosen = df.select(*[df[f"`{c}`"] for c in names], df[text].cast("binary").alias("__source"))
-    return small_batches(chosen).mapInArrow(run, T.StructType([*df.select(*[f"`{c}`" for c in names]).schema.fields, T.StructField(spans, SPANS)]))
+        def work(texts: list[bytes], known: list[bool]) -> list[pa.Array]:
+            out = []
+            for raw, found in zip(texts, s.scan(texts), strict=True):
+                points = _points(raw) if found else None
+                out.append([{"kind": rules[r].name, "start": int(points[a]), "end": int(points[b])} for a, r, b in found])
+            return [pa.array(out, ARROW_SPANS)]
+
+        return work
+
+    return computed(df, named(text), [T.StructField(spans, SPANS)], begin)
 
 
 def redact(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Replaces every stretch of ``text`` that spans cover by ``[kind]``, of the first span in it. Null stays null."""
-    names = df.columns
-    at = names.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         s = scanner(rules)
-        for batch in batches:
-            for start, texts in slices(batch.column(len(names))):
-                part = batch.slice(start, len(texts))
-                columns = part.columns[: len(names)]
-                found = s.scan(texts)
-                if any(found):
-                    known = part.column(len(names)).is_valid().to_pylist()
-                    clean = [cover(raw, spans, rules).decode("utf-8", "replace") if ok else None for raw, spans, ok in zip(texts, found, known, strict=True)]
-                    columns[at] = pa.array(clean, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return small_batches(df.withColumn("__source", df[text].cast("binary"))).mapInArrow(run, df.schema)
+
+        def work(texts: list[bytes], known: list[bool]) -> list[pa.Array]:
+            return [pa.array([cover(raw, spans, rules) if ok else None for raw, spans, ok in zip(texts, s.scan(texts), known, strict=True)], pa.binary()).cast(pa.string())]
+
+        return work
+
+    return computed(df, named(text), [df.schema[text]], begin).select(*[named(c) for c in df.columns])
 
 
 def cover(raw: bytes, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> bytes:
