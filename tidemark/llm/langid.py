@@ -10,16 +10,21 @@ the recursion word by word. A text's language is the one with the most letters i
 spans, and its score their share.
 
 The model is fitted on at most about ``SAMPLE_DOCS`` labelled rows for each language,
-chosen by hash; counting is distributed, and counts by bucket are what the driver gets
-(at most ``MOST_LANGUAGES`` languages). Every row is labelled, over its whole text.
+chosen by a hash of the whole row; counting is distributed, and the driver gets the counts
+of buckets that occur. There may be any number of languages; the model has 147 kB for each.
+Every row is labelled, over its whole text.
 
 Defined cases: null text, or one without letters, has no span, language ``und`` and score
-0; without labelled rows every text is ``und``; rows without a label are not learned from;
-equal rows count one by one; other columns pass through.
+0; without labelled rows, as in an empty table, every text is ``und``; rows without a label
+are not learned from; of languages that tie the first by code point is taken; letters whose
+lower case is more than one letter stand for themselves; texts of any length are labelled
+whole; equal rows count one by one; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import slices
-from .common import small_batches, table
+from .common import computed, cut, named, row_key, slices, small_batches, small_side, table
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 10_000
-MOST_LANGUAGES = 200
 #: Buckets of letter pairs and of letter triples.
 PAIRS, TRIPLES = 1 << 12, 1 << 15
 SMOOTH = 0.1
 LEAST_SHARE = 0.01
 SWITCH = 25.0
-#: Text that is held at a time.
-STEP_BYTES = 1 << 20
+#: Text that is held at a time, at most; scores of letters.
+STEP_BYTES, HELD = 1 << 20, 1 << 22
 
 #: First code points of stretches, and the script whose letters lie there.
 SCRIPTS = (
@@ -53,13 +56,20 @@ SCRIPTS = (
 NAMES = sorted({name for _, name in SCRIPTS})
 _STARTS = np.array([s for s, _ in SCRIPTS], dtype=np.uint32)
 _SCRIPT = np.array([NAMES.index(name) for _, name in SCRIPTS], dtype=np.int64)
-_letters: list[np.ndarray] = []
+#: No letter lies beyond.
+_POINTS = 0x40000
 
 
-def _is_letter() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
-    return _letters[0]
+@functools.cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point whether it is a letter, and its lower case where that is one code point."""
+    letter = np.fromiter((chr(i).isalpha() for i in range(_POINTS)), dtype=bool, count=_POINTS)
+    lower = np.arange(_POINTS, dtype=np.uint32)
+    for i in np.flatnonzero(letter).tolist():
+        low = chr(i).lower()
+        if len(low) == 1:
+            lower[i] = ord(low)
+    return letter, lower
 
 
 class Words:
@@ -70,9 +80,10 @@ class Words:
         self.base = np.cumsum([0, *[len(d) + 1 for d in decoded]])
         joined = ("\n".join(decoded) + "\n").encode("utf-32-le", "surrogatepass")
         points = np.frombuffer(joined, dtype=np.uint32)
-        letter = _is_letter()[points]
-        lower = ("\n".join(d.lower() if len(d.lower()) == len(d) else d for d in decoded) + "\n").encode("utf-32-le", "surrogatepass")
-        c = np.where(letter, np.frombuffer(lower, dtype=np.uint32), 0).astype(np.uint32)
+        is_letter, lower = _letters()
+        known = np.minimum(points, np.uint32(_POINTS - 1))
+        letter = is_letter[known]
+        c = np.where(letter, lower[known], 0).astype(np.uint32)
         edge = np.diff(letter.astype(np.int8), prepend=0)
         self.first, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.text = np.searchsorted(self.base, self.first, side="right") - 1
@@ -91,14 +102,18 @@ class Words:
 
 
 class Model:
-    def __init__(self, counts: dict[tuple[str, int, int], int]) -> None:
-        """Counts by language, kind (0 pairs, 1 triples, 2 letters of a script) and bucket."""
-        self.languages = sorted({k[0] for k in counts})
-        sizes = (PAIRS, TRIPLES, len(NAMES))
-        seen = [np.zeros((n, len(self.languages))) for n in sizes]
-        for (language, kind, bucket), n in counts.items():
-            seen[kind][bucket, self.languages.index(language)] += n
-        self.pair, self.triple = (np.log((s + SMOOTH) / (s.sum(axis=0) + SMOOTH * len(s))).astype(np.float32) / 2 for s in seen[:2])
+    def __init__(self, counts: pa.Table) -> None:
+        """From lang, kind (0 pairs, 1 triples, 2 letters of a script), bucket and n, once for each that occurs."""
+        self.languages = sorted(set(counts.column("lang").to_pylist()))
+        place = {name: i for i, name in enumerate(self.languages)}
+        lang = np.array([place[x] for x in counts.column("lang").to_pylist()], dtype=np.int64)
+        kind, bucket, n = (counts.column(c).to_numpy() for c in ("kind", "bucket", "n"))
+        seen = []
+        for k, size in enumerate((PAIRS, TRIPLES, len(NAMES))):
+            own = np.zeros((size, len(self.languages)), dtype=np.float32)
+            own[bucket[kind == k], lang[kind == k]] = n[kind == k]
+            seen.append(own)
+        self.pair, self.triple = (np.log((s + SMOOTH) / (s.sum(axis=0, dtype=np.float64) + SMOOTH * len(s)).astype(np.float32)) / 2 for s in seen[:2])
         share = seen[2] / np.maximum(1, seen[2].sum(axis=0))
         #: candidate[script, language]; a script that no language is written in leaves all of them.
         self.candidate = share >= LEAST_SHARE
@@ -110,7 +125,14 @@ class Model:
         w = Words(texts)
         if not len(w.first) or not self.languages:
             return out
-        score = np.add.reduceat(self.pair[w.pair] + self.triple[w.triple], w.offset[:-1], axis=0).astype(np.float64)
+        score = np.empty((len(w.first), len(self.languages)))
+        step = max(1, HELD // len(self.languages))  # letters that are looked up at a time
+        at = 0
+        while at < len(w.first):
+            end = max(at + 1, int(np.searchsorted(w.offset, w.offset[at] + step, side="right")) - 1)
+            a, b = w.offset[at], w.offset[end]
+            score[at:end] = np.add.reduceat(self.pair[w.pair[a:b]] + self.triple[w.triple[a:b]], w.offset[at:end] - a, axis=0)
+            at = end
         score[~self.candidate[w.script]] = -1e6
         bounds = np.searchsorted(w.text, np.arange(len(texts) + 1))
         for i in range(len(texts)):
@@ -136,19 +158,20 @@ class Model:
 
 def viterbi(score: np.ndarray, switch: float) -> list[tuple[int, int, int]]:
     """Runs (label, first word, one past the last) of the path with the greatest score less ``switch`` for each change."""
-    rows = score.tolist()
-    value, back = rows[0], []
-    labels = range(len(value))
-    for row in rows[1:]:
-        top = max(value)
-        source = value.index(top)
-        top -= switch
-        back.append([k if value[k] >= top else source for k in labels])
-        value = [(v if v >= top else top) + r for v, r in zip(value, row, strict=True)]
+    n, width = score.shape
+    value, labels = score[0].tolist(), range(width)
+    back = array("i")  # for each word but the first, and each label, the label before
+    for at in range(1, n, 4096):
+        for row in score[at : at + 4096].tolist():
+            top = max(value)
+            source = value.index(top)
+            top -= switch
+            back.extend([k if value[k] >= top else source for k in labels])
+            value = [(v if v >= top else top) + r for v, r in zip(value, row, strict=True)]
     label = value.index(max(value))
-    runs, end = [], len(rows)
-    for t in range(len(rows) - 1, 0, -1):
-        before = back[t - 1][label]
+    runs, end = [], n
+    for t in range(n - 1, 0, -1):
+        before = back[(t - 1) * width + label]
         if before != label:
             runs.append((label, t, end))
             label, end = before, t
@@ -157,14 +180,11 @@ def viterbi(score: np.ndarray, switch: float) -> list[tuple[int, int, int]]:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, seed: int = 11) -> Model:
     """A model of the languages of the rows that have one, from about ``sample_docs`` of each chosen by hash."""
-    rows = labelled.select(labelled[lang].cast("string").alias("lang"), labelled[text].cast("binary").alias("text")).where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    scale = 1 << 30
-    drawn = F.lit(False)
-    for name, n in sizes.items():
-        drawn = F.when(F.col("lang") == name, F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(scale)) < int(scale * min(1.0, sample_docs / n))).otherwise(drawn)
+    key = F.pmod(F.xxhash64(F.lit(seed), *row_key(labelled)), F.lit(1 << 30))
+    rows = labelled.select(named(lang).cast("string").alias("lang"), named(text).cast("binary").alias("text"), key.alias("key")).where("lang IS NOT NULL")
+    rates = rows.groupBy(F.col("lang").alias("own")).agg(F.least(F.lit(1.0), sample_docs / F.count(F.lit(1))).alias("rate"))
+    rates = cut(rates, "rates")
+    drawn = rows.join(small_side(rates, rates.count()), F.col("lang") == F.col("own")).where(F.col("key") < F.col("rate") * float(1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[np.ndarray]] = {}
@@ -184,9 +204,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(np.full(len(at), kind, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(values[at])], names=["lang", "kind", "bucket", "n"])
 
-    counted = small_batches(rows.where(drawn)).mapInArrow(count, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.toArrow().to_pydict()  # a row for each language and bucket at most
-    return Model(dict(zip(zip(got["lang"], got["kind"], got["bucket"], strict=True), got["n"], strict=True)))
+    counted = small_batches(drawn).mapInArrow(count, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
+    return Model(counted.toArrow())  # a row for each language and bucket that occurs
 
 
 ARROW_SPANS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -199,32 +218,31 @@ ADDED = T.StructType([
 
 def label(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_spans (lang, start, end in code points), lang_pred and score. Replaces columns of these names; drops ``text``."""
-    names = [c for c in df.columns if c not in (*ADDED.names, text)]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin():
         m = shared.value
-        for batch in batches:
-            for start, texts in slices(batch.column(len(names)), STEP_BYTES):
-                spans, preds, scores = [], [], []
-                for found in m.label(texts):
-                    mass = np.zeros(len(m.languages) + 1)
-                    for k, a, b in found:
-                        mass[k] += b - a
-                    top = int(mass.argmax())
-                    spans.append([{"lang": m.languages[k], "start": a, "end": b} for k, a, b in found])
-                    preds.append(m.languages[top] if found else UNKNOWN)
-                    scores.append(float(mass[top] / mass.sum()) if found else 0.0)
-                kept = batch.slice(start, len(texts)).columns[: len(names)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, ARROW_SPANS), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, *ADDED.names])
-
-    chosen = df.select(*[df[f"`{c}`"] for c in names], df[text].cast("binary").alias("__source"))
-    return small_batches(chosen).mapInArrow(run, T.StructType([*df.select(*[f"`{c}`" for c in names]).schema.fields, *ADDED.fields]))
+
+        def work(texts: list[bytes], known: list[bool]) -> list[pa.Array]:
+            spans, preds, scores = [], [], []
+            for found in m.label(texts):
+                mass = np.zeros(len(m.languages) + 1)
+                for k, a, b in found:
+                    mass[k] += b - a
+                top = int(mass.argmax())
+                spans.append([{"lang": m.languages[k], "start": a, "end": b} for k, a, b in found])
+                preds.append(m.languages[top] if found else UNKNOWN)
+                scores.append(float(mass[top] / mass.sum()) if found else 0.0)
+            return [pa.array(spans, ARROW_SPANS), pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
+
+        return work
+
+    return computed(df, named(text), ADDED.fields, begin, (text,), max(1 << 14, min(STEP_BYTES, 16 * STEP_BYTES // max(1, len(model.languages)))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(docs["doc_id"].cast("string")) % 5
-    model = fit(docs.where(fold != 0).select("text", "lang"))
+    model = fit(docs.where(fold != 0).select("doc_id", "text", "lang"))
     labelled = label(docs.select("doc_id", "text", F.coalesce(fold == 0, F.lit(False)).alias("held_out")), model)
     return labelled.select("doc_id", "held_out", "lang_pred", "score", F.size("lang_spans").cast("long").alias("n_spans"))
