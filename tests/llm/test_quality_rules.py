@@ -38,37 +38,88 @@ def test_chi_square():
     assert abs(q.chi_square_cdf(q.chi_square_quantile(0.3, 7), 7) - 0.3) < 1e-9
 
 
-def plain_verdicts(vectors):
-    """The same estimate for one cell, step by step in numpy."""
-    x = np.array(vectors)
-    bins = np.floor(q.BINS * x)
-    low, med, high = (np.percentile(bins, p, axis=0) / q.BINS for p in (25, 50, 75))
-    d = (((x - med) / np.maximum((high - low) / 1.349, q.FLOOR)) ** 2).sum(axis=1)
-    for _ in range(q.STEPS + 1):
-        b = np.floor(q.BINS * np.log1p(d))
-        inside = x[b <= np.percentile(b, 100 * q.COVERAGE)]
-        m = inside.mean(axis=0)
-        c = q.CONSISTENCY * np.cov(inside.T, bias=True) + np.diag(np.array(q.FLOOR) ** 2)
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    return d <= q.CUTOFF
-
-
-def test_verdicts_are_brute_force(spark, docs):
+def plain_step(x, m, c):
+    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    b = np.floor(q.BINS * np.log1p(d))
+    inside = x[b <= np.percentile(b, 100 * q.COVERAGE)]
+    return inside.mean(axis=0), q.CONSISTENCY * np.cov(inside.T, bias=True) + np.diag(np.array(q.FLOOR) ** 2)
+
+
+def plain_starts(x):
+    """Centre and scatter of each start after its steps, in numpy."""
+    low, med, high = (np.percentile(np.floor(q.BINS * x), p, axis=0) / q.BINS for p in (25, 50, 75))
+    w = np.maximum((high - low) / 1.349, q.FLOOR)
+    z = (x - med) / w
+    norm = np.sqrt((z**2).sum(axis=1, keepdims=True))
+    u = np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+    t = np.tanh(z)
+    shapes = [np.eye(q.D), u.T @ u / len(x) + 0.01 * np.eye(q.D), np.cov(t.T, bias=True) + 0.01 * np.eye(q.D)]
+    out = []
+    for shape in shapes:
+        m, c = med, np.outer(w, w) * shape
+        for _ in range(q.STEPS):
+            m, c = plain_step(x, m, c)
+        out.append((m, c))
+    return out
+
+
+def plain_estimate(x):
+    m, c = min(plain_starts(x), key=lambda e: np.linalg.slogdet(e[1])[1])
+    for _ in range(q.MORE_STEPS):
+        m, c = plain_step(x, m, c)
+    return m, c
+
+
+def plain_verdicts(vectors, langs, sources):
+    """Verdicts of documents that pass the fixed limits."""
+    x, keys = np.array(vectors), list(zip(langs, sources, strict=True))
+    of = lambda test: x[[test(k) for k in keys]]
+    every = plain_estimate(x)
+    draw = lambda n, a, b: tuple(n / (n + q.WORTH) * p + q.WORTH / (n + q.WORTH) * r for p, r in zip(a, b, strict=True))
+    by_lang = {lang: draw(sum(k[0] == lang for k in keys), plain_estimate(of(lambda k: k[0] == lang)), every) for lang in {k[0] for k in keys}}  # noqa: B023
+    by_key = {key: draw(sum(k == key for k in keys), plain_estimate(of(lambda k: k == key)), by_lang[key[0]]) for key in set(keys)}  # noqa: B023
+    return [bool((v - by_key[k][0]) @ np.linalg.inv(by_key[k][1]) @ (v - by_key[k][0]) <= q.CUTOFF) for v, k in zip(x, keys, strict=True)]
+
+
+def vectors_of(found):
+    return [[np.log(s.n_words + 1), np.log((s.word_chars + 1) / (s.n_words + 1)), np.log1p(100 * s.n_symbols / (s.word_chars + 1)), np.log1p(100 * s.n_dup_lines / (s.n_words + 1)), np.log1p(100 * s.n_repeat_words / (s.n_words + 1))] for s in found]
+
+
+def corpus():
     r = random.Random(3)
     word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(2, 9)))
-    rows = []
-    for i in range(400):
-        w = [word() for _ in range(r.randrange(20, 300))]
-        rows.append((i, " ".join(x + "***" for x in w) if i % 40 == 0 else " ".join(w), "en", "big"))
-    rows += [(1000 + i, "q*** " * 3 + " ".join(word() for _ in range(30)), "en", f"small{i}") for i in range(5)]
-    rows += [(2000, "too short", "en", "big"), (2001, None, None, None)]
+    clean = lambda: " ".join(word() for _ in range(r.randrange(20, 300)))
+    junk = lambda: " ".join(word() + "***" for _ in range(40))
+    rows = [(i, junk() if i % 40 == 0 else clean(), "en", "big") for i in range(400)]
+    rows += [(1000 + i, junk(), "en", "rare") for i in range(60)]  # drawn to its language
+    rows += [(2000 + i, junk() if i == 0 else clean(), "fr", "few") for i in range(30)]  # a gross outlier among few
+    rows += [(3000 + i, clean(), "xx" if i % 2 else None, f"s{i % 3}" if i % 3 else None) for i in range(9)]
+    return rows
+
+
+def test_verdicts_are_brute_force(docs):
+    rows = [*corpus(), (9000, "too short", "en", "big"), (9001, None, None, None)]
     out = {x.doc_id: x for x in q.judge(q.statistics(docs(rows)), "lang", "source").collect()}
-    big = [out[i] for i in range(400)]
-    vectors = [[np.log(s.n_words + 1), np.log((s.word_chars + 1) / (s.n_words + 1)), np.log1p(100 * s.n_symbols / (s.word_chars + 1)), np.log1p(100 * s.n_dup_lines / (s.n_words + 1)), np.log1p(100 * s.n_repeat_words / (s.n_words + 1))] for s in big]
-    assert [s.kept for s in big] == plain_verdicts(vectors).tolist()
-    assert not any(out[i].kept for i in range(0, 400, 40)) and sum(s.kept for s in big) == 390
-    assert all(out[1000 + i].kept for i in range(5))
-    assert (out[2000].base_failed, out[2000].kept, out[2001].kept) == (True, False, False)
+    passed = [row for row in rows if not out[row[0]].base_failed]
+    assert len(passed) == len(rows) - 2
+    got = {row[0]: out[row[0]].kept for row in passed}
+    assert got == dict(zip(got, plain_verdicts(vectors_of(out[i] for i in got), [row[2] for row in passed], [row[3] for row in passed]), strict=True))
+    gone = {i for i, kept in got.items() if not kept}
+    assert gone == {*range(0, 400, 40), *range(1000, 1060), 2000}
+    assert not out[9000].kept and not out[9001].kept
+
+
+def test_least_determinant_of_several_starts(spark):
+    r = np.random.default_rng(2)
+    far = r.normal(size=(140, q.D)) * 0.3 + np.array([3.0, 0.5, 2.0, 0.0, 0.0])
+    x = np.concatenate([r.normal(size=(260, q.D)) @ r.normal(size=(q.D, q.D)), far])
+    frame = spark.createDataFrame([("c", *row) for row in x.tolist()], ["__cell", *[f"__x{i}" for i in range(q.D)]])
+    found = {row["__start"]: row["logdet"] for row in q.determinants(frame, 1).collect()}
+    want = [np.linalg.slogdet(c)[1] for _, c in plain_starts(x)]
+    assert np.allclose([found[k] for k in range(q.STARTS)], want) and len({round(v, 6) for v in want}) > 1
+    best = q.estimated(frame, 1).first()
+    m, c = plain_estimate(x)
+    assert np.allclose([best[f"m{i}"] for i in range(q.D)], m) and np.allclose([best[f"s{i}{j}"] for i, j in q.PAIRS], [c[i, j] for i, j in q.PAIRS])
 
 
 def test_keep_passes_columns_on(docs):
@@ -84,29 +135,8 @@ def test_no_python_in_the_plan(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def vectors_of(found):
-    return [[np.log(s.n_words + 1), np.log((s.word_chars + 1) / (s.n_words + 1)), np.log1p(100 * s.n_symbols / (s.word_chars + 1)), np.log1p(100 * s.n_dup_lines / (s.n_words + 1)), np.log1p(100 * s.n_repeat_words / (s.n_words + 1))] for s in found]
-
-
-def test_small_cells_are_judged_by_more_rows(docs):
-    r = random.Random(5)
-    word = lambda: "".join(r.choices("abcdefghij", k=r.randrange(2, 9)))
-    clean = lambda: " ".join(word() for _ in range(r.randrange(20, 300)))
-    junk = lambda: " ".join(word() + "***" for _ in range(40))
-    rows = [(i, clean(), "en", "big") for i in range(400)]
-    rows += [(1000 + i, junk(), "en", "rare") for i in range(60)]  # by its language
-    rows += [(2000 + i, junk() if i < 5 else clean(), "xx" if i % 2 else None, f"s{i % 3}" if i % 3 else None) for i in range(30)]  # by all documents
-    out = {x.doc_id: x for x in q.judge(q.statistics(docs(rows)), "lang", "source").collect()}
-    assert len(out) == len(rows) and not any(x.base_failed for x in out.values())
-    en, every = [out[i] for i in (*range(400), *range(1000, 1060))], [out[i] for i, *_ in rows]
-    assert [x.kept for x in en[:400]] == plain_verdicts(vectors_of(en[:400])).tolist()
-    assert [x.kept for x in en[400:]] == plain_verdicts(vectors_of(en)).tolist()[400:]
-    assert [x.kept for x in every[460:]] == plain_verdicts(vectors_of(every)).tolist()[460:]
-    assert not any(x.kept for x in en[400:]) and [x.kept for x in every[460:]] == [False] * 5 + [True] * 25
-
-
-def test_few_documents_are_judged(docs):
-    r = random.Random(6)
-    rows = [(i, " ".join("".join(r.choices("abcdefghij", k=r.randrange(2, 9))) + "***" * (i < 2) for _ in range(60)), "en", f"s{i % 3}") for i in range(40)]
-    out = {x.doc_id: x.kept for x in q.judge(q.statistics(docs(rows)), "lang", "source").collect()}
-    assert [out[i] for i in range(40)] == [False] * 2 + [True] * 38
+def test_empty_table_and_odd_columns(spark, docs, monkeypatch):
+    monkeypatch.setattr(q, "table", lambda *a: docs([(1, "a")]).where("false"))
+    assert q.query(spark, "").count() == 0
+    odd = docs([(1, " ".join(f"w{i}" for i in range(40)), "en", "s"), (1, None, None, None)]).withColumnRenamed("n_chars", "a.b").withColumnRenamed("doc_id", "__x0")
+    assert q.keep(odd).columns == odd.columns and q.keep(odd).count() == 1

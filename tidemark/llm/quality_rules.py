@@ -3,22 +3,29 @@
 Statistics of a text are turned into a vector (logarithms of its length, of its mean
 word length and of its shares of symbols, repeated lines and repeated words). For each
 language and source the minimum covariance determinant gives a centre and a scatter that
-outliers do not move: from the medians on, concentration steps take the mean and the
-covariance of the ``COVERAGE`` of the rows that are nearest by the last estimate. A
-document is rejected when its squared Mahalanobis distance is over ``CUTOFF``. A language
-and source with fewer than ``LEAST_ROWS`` rows is judged by the estimate over all rows of
-its language, and one whose language has fewer by the estimate over all documents, however
-many these are, so that every document that passes the fixed limits gets a verdict.
+outliers do not move: several starts (distances by medians and quartiles, and by the
+covariances of spatial signs and of bounded scores) go through concentration steps, each
+of which takes the mean and the covariance of the ``COVERAGE`` of the rows that are
+nearest by the last estimate; the start whose covariance has the least determinant goes
+on until it hardly changes. The same is done for each language and for all documents.
+A language's estimate is then drawn towards that of all documents, and a source's towards
+its language's, as if that were worth ``WORTH`` rows, so that a few rows have little say and
+every document is judged, whatever the size of its group. A document is rejected when
+its squared Mahalanobis distance is over ``CUTOFF``.
 
 All of it is DataFrame and SQL functions. Texts are read once; their statistics are
 written to the scratch folder and only these short rows are grouped, by sums and by
-counts in bins, which are combined before they are shuffled, so that a hot source is
-only more rows to sum up. Medians and coverage limits come from such bins and are the
-same whatever the partitions.
+counts in bins, which are combined before they are shuffled; estimates come back to the
+rows by a broadcast of their counted table (by a shuffle where that is long), so that a
+hot source is only more rows to sum up. Quartiles and coverage limits come from such bins
+and are the same whatever the partitions. Repeated windows are told by 64-bit hashes of
+their words; two different ones of a text agree with a chance of 2**-64.
 
 Defined cases: null text has no words; texts with fewer than 20 words fail the fixed
-limits; null languages and sources are groups of their own; equal rows count one by one;
-an empty table gives no rows; other columns are ignored or, in ``keep``, passed on.
+limits; null languages and sources are groups of their own; equal rows count one by one
+and get the same verdict; of starts that tie the first is taken; of rows that tie at the
+coverage limit all are taken; texts of any length are read whole; an empty table gives no
+rows; other columns, whatever their names, are ignored or, in ``keep``, passed on.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import cut, named, small_side, table, words
 
 #: Characters that count as symbols, words in a window, limits of the base rule.
 SYMBOLS = "#*$%&|<>"
@@ -53,34 +60,31 @@ def _repeated(n: str) -> str:
 
 def statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """``keep`` and n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long) of each row's whole text."""
-    whole = F.coalesce(df[text], F.lit(""))
-    rows = df.select(*[df[f"`{k}`"] for k in keep], whole.alias("__text"), words(df[text]).alias("__words"))
+    whole = F.coalesce(named(text), F.lit(""))
+    rows = df.select(*[named(k) for k in keep], whole.alias("__text"), words(named(text)).alias("__words"))
     plain = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SYMBOLS, F.col("__text"))
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
-        *[f"`{k}`" for k in keep],
+        *[named(k) for k in keep],
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(plain)).cast("long").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
-        F.transform("__words", lambda w: F.xxhash64(w)).alias("__h1"),
+        F.expr(f"CASE WHEN size(__words) < {WINDOW_WORDS} THEN CAST(array() AS array<bigint>) ELSE transform(sequence(1, size(__words) - {WINDOW_WORDS - 1}), i -> xxhash64(slice(__words, i, {WINDOW_WORDS}))) END").alias("__windows"),
     )
-    held = [c for c in rows.columns if c != "__h1"]
-    for reach in (1, 2, 4):  # hashes of 2, 4 and 8 words in a row
-        pairs = f"zip_with(slice(__h{reach}, 1, size(__h{reach}) - {reach}), slice(__h{reach}, {reach + 1}, size(__h{reach})), (a, b) -> xxhash64(a, b))"
-        rows = rows.select(*[f"`{c}`" for c in held], F.expr(f"CASE WHEN size(__h{reach}) > {reach} THEN {pairs} ELSE CAST(array() AS array<bigint>) END").alias(f"__h{2 * reach}"))
-    return rows.select(*[f"`{c}`" for c in held], F.expr(_repeated(f"__h{WINDOW_WORDS}")).alias("n_repeat_words"))
+    return rows.select(*[named(c) for c in rows.columns[:-1]], F.expr(_repeated("__windows")).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-#: Share of the rows whose covariance has the least determinant; concentration steps after the start.
+#: Share of the rows whose covariance has the least determinant; concentration steps of each start, and of the best one after that.
 COVERAGE = 0.75
-STEPS = 3
-#: Rows under which a language and source has no estimate of its own.
-LEAST_ROWS = 100
+STEPS, MORE_STEPS = 2, 2
+STARTS = 3
+#: Rows that the estimate of all rows of a language is worth to a source in it, and that of all documents to a language.
+WORTH = 100
 #: Least standard deviation of each coordinate: closer texts are not told apart, and a constant coordinate does not make the scatter singular.
 FLOOR = (0.25, 0.04, 0.3, 0.7, 1.0)
 #: Chance that a normal vector is rejected. Statistics of texts have longer tails than that, hence so low.
@@ -127,53 +131,30 @@ def vector() -> list[Column]:
     ]
 
 
-def _cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """__l, __s and the __cell by which a language and source is judged; and the same with each cell whose estimate its rows are part of."""
-    n = F.col("__n")
-    counts = rows.where("NOT __failed").groupBy("__lang", "__source").agg(F.count(F.lit(1)).alias("__n"))
-    by_lang = counts.groupBy("__lang").agg(F.sum(n).alias("__of_lang")).withColumnRenamed("__lang", "__l2")
-    level = F.when(n >= LEAST_ROWS, 0).when(F.col("__of_lang") >= LEAST_ROWS, 1).otherwise(2)
-    met = counts.join(by_lang, F.col("__lang").eqNullSafe(F.col("__l2")))
-    judged = cut(met.select(F.col("__lang").alias("__l"), F.col("__source").alias("__s"), level.alias("__level")), "cells")
-
-    def name(at: Column) -> Column:
-        return F.to_json(F.struct(at.alias("level"), F.when(at < 2, F.col("__l")).alias("lang"), F.when(at < 1, F.col("__s")).alias("source")))
-
-    # a language's and the whole estimate are made only where some cell is judged by them
-    asked = judged.groupBy("__l").agg(F.max(F.col("__level") == 1).alias("__by_lang")).withColumnRenamed("__l", "__l2")
-    ever = judged.agg(F.max(F.col("__level") == 2).alias("__by_all"))  # one row
-    each = judged.join(asked, F.col("__l").eqNullSafe(F.col("__l2"))).crossJoin(F.broadcast(ever))
-    parts = F.array(F.when(F.col("__level") == 0, name(F.lit(0))), F.when(F.col("__by_lang"), name(F.lit(1))), F.when(F.col("__by_all"), name(F.lit(2))))
-    feeds = cut(each.select("__l", "__s", F.explode(F.filter(parts, lambda c: c.isNotNull())).alias("__cell")), "feeds")
-    return judged.select("__l", "__s", name(F.col("__level")).alias("__cell")), feeds
-
-
-def _with(rows: DataFrame, by_cell: DataFrame) -> DataFrame:
-    return rows.join(by_cell.withColumnRenamed("__cell", "__of"), F.col("__cell") == F.col("__of"))
-
-
-def _concentrated(near: DataFrame) -> DataFrame:
-    """Mean (m0, ...) and inverse Cholesky factor (i00, i10, ...) of the rows of each cell that are among its nearest by ``__d``."""
-    bin_ = F.floor(BINS * F.log1p("__d"))
-    limit = near.groupBy("__cell").agg(F.percentile(bin_, COVERAGE).alias("__limit"))
-    inside = _with(near, limit).where(bin_ <= F.col("__limit"))
-    x = [F.col(f"__x{i}") for i in range(D)]
-    sums = [F.avg(x[i]).alias(f"m{i}") for i in range(D)]
-    # centred on the cell's medians, so that squares do not swamp the variance
-    y = [F.col(f"__x{i}") - F.col(f"__med{i}") for i in range(D)]
-    sums += [F.avg(y[i]).alias(f"y{i}") for i in range(D)]
-    sums += [F.avg(y[i] * y[j]).alias(f"p{i}{j}") for i in range(D) for j in range(i + 1)]
-    found = inside.groupBy("__cell").agg(*sums)
-    for i in range(D):
-        for j in range(i + 1):
-            spread = CONSISTENCY * (F.col(f"p{i}{j}") - F.col(f"y{i}") * F.col(f"y{j}")) + (FLOOR[i] ** 2 if i == j else 0.0)
-            known = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(spread - known, F.lit(FLOOR[i] ** 2))) if i == j else (spread - known) / F.col(f"l{j}{j}"))
-    for i in range(D):
-        for j in range(i + 1):
-            known = sum((F.col(f"l{i}{k}") * F.col(f"i{k}{j}") for k in range(j, i)), F.lit(0.0))
-            found = found.withColumn(f"i{i}{j}", 1 / F.col(f"l{i}{i}") if i == j else -known / F.col(f"l{i}{i}"))
-    return cut(found.select("__cell", *[f"m{i}" for i in range(D)], *[f"i{i}{j}" for i in range(D) for j in range(i + 1)]), "scatter")
+PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
+MEANS = [f"m{i}" for i in range(D)]
+SPREADS = [f"s{i}{j}" for i, j in PAIRS]
+FACTORS = [f"i{i}{j}" for i, j in PAIRS]
+
+
+def _cells(rows: DataFrame) -> tuple[DataFrame, int]:
+    """__l, __s, __n (rows that pass the fixed limits) and __names, of the three cells whose estimates the rows are part of: their own, their language's, and that of all; and how many there are."""
+    name = lambda *of: F.to_json(F.struct(*[F.col(c).alias(c[2:]) for c in of]), {"ignoreNullFields": "false"})
+    counts = rows.where("NOT __failed").groupBy(F.col("__lang").alias("__l"), F.col("__source").alias("__s")).agg(F.count(F.lit(1)).alias("__n"))
+    cells = cut(counts.withColumn("__names", F.array(name("__l", "__s"), name("__l"), F.lit("{}"))), "cells")
+    return cells, cells.count()
+
+
+def _factored(found: DataFrame) -> DataFrame:
+    """Adds i00, i10, ..., the inverse Cholesky factor of the scatter s00, s10, ..., and logdet, the logarithm of its determinant."""
+    columns = found.columns
+    for i, j in PAIRS:
+        known = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+        found = found.withColumn(f"l{i}{j}", F.sqrt(F.greatest(F.col(f"s{i}{i}") - known, F.lit(1e-12))) if i == j else (F.col(f"s{i}{j}") - known) / F.col(f"l{j}{j}"))
+    for i, j in PAIRS:
+        known = sum((F.col(f"l{i}{k}") * F.col(f"i{k}{j}") for k in range(j, i)), F.lit(0.0))
+        found = found.withColumn(f"i{i}{j}", 1 / F.col(f"l{i}{i}") if i == j else -known / F.col(f"l{i}{i}"))
+    return found.select(*columns, *FACTORS, sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(D)), F.lit(0.0)).alias("logdet"))
 
 
 def _distance() -> Column:
@@ -182,34 +163,85 @@ def _distance() -> Column:
     return sum((v * v for v in z), F.lit(0.0))
 
 
+def _concentrated(measured: DataFrame, estimates: DataFrame, n: int) -> DataFrame:
+    """For each estimate (__cell and __start, of which there are ``n``) that of the rows that are nearest by it."""
+    key = ["__cell", "__start"]
+    small = small_side(estimates.select(*key, *MEANS, *FACTORS), n)
+    near = measured.join(small, "__cell").withColumn("__bin", F.floor(BINS * F.log1p(_distance())))
+    limit = small_side(near.groupBy(*key).agg(F.percentile("__bin", COVERAGE).alias("__limit")), n)
+    inside = near.join(limit, key).where("__bin <= __limit")
+    # centred on the last estimate, so that squares do not swamp the variance
+    y = [F.col(f"__x{i}") - F.col(f"m{i}") for i in range(D)]
+    sums = [F.first(m).alias(f"last_{m}") for m in MEANS] + [F.avg(y[i]).alias(f"y{i}") for i in range(D)] + [F.avg(y[i] * y[j]).alias(f"p{i}{j}") for i, j in PAIRS]
+    spread = [(CONSISTENCY * (F.col(f"p{i}{j}") - F.col(f"y{i}") * F.col(f"y{j}")) + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in PAIRS]
+    found = inside.groupBy(*key).agg(*sums).select(*key, *[(F.col(f"last_m{i}") + F.col(f"y{i}")).alias(f"m{i}") for i in range(D)], *spread)
+    return cut(_factored(found), "scatter")
+
+
+def _starts(measured: DataFrame, n: int) -> DataFrame:
+    """The estimates that concentration begins with, for each of ``n`` cells: medians, and three scatters."""
+    quartiles = measured.groupBy("__cell").agg(*[F.percentile(F.floor(BINS * F.col(f"__x{i}")), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(D)])
+    medians = [(F.col(f"q{i}")[1] / BINS).alias(f"m{i}") for i in range(D)]
+    scales = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / BINS / 1.349, F.lit(FLOOR[i])).alias(f"w{i}") for i in range(D)]
+    plain = cut(quartiles.select("__cell", *medians, *scales), "medians")
+    z = [(F.col(f"__x{i}") - F.col(f"m{i}")) / F.col(f"w{i}") for i in range(D)]
+    scored = measured.join(small_side(plain, n), "__cell").select("__cell", *[z[i].alias(f"z{i}") for i in range(D)])
+    scored = scored.withColumn("__far", F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(D)), F.lit(0.0))))
+    sign = [F.coalesce(F.col(f"z{i}") / F.nullif(F.col("__far"), F.lit(0.0)), F.lit(0.0)) for i in range(D)]
+    bounded = [F.tanh(F.col(f"z{i}")) for i in range(D)]
+    shapes = scored.groupBy("__cell").agg(*[F.avg(v[i] * v[j]).alias(f"{kind}{i}{j}") for kind, v in (("u", sign), ("t", bounded)) for i, j in PAIRS], *[F.avg(bounded[i]).alias(f"t{i}") for i in range(D)])
+    met = cut(plain.join(small_side(shapes, n), "__cell"), "shapes")
+
+    def start(number: int, shape) -> DataFrame:
+        scatter = [(F.col(f"w{i}") * F.col(f"w{j}") * (shape(i, j) + (0.01 if i == j and number else 0.0))).alias(f"s{i}{j}") for i, j in PAIRS]
+        return met.select("__cell", F.lit(number).alias("__start"), *MEANS, *scatter)
+
+    kinds = [lambda i, j: F.lit(float(i == j)), lambda i, j: F.col(f"u{i}{j}"), lambda i, j: F.col(f"t{i}{j}") - F.col(f"t{i}") * F.col(f"t{j}")]
+    return cut(_factored(reduce(DataFrame.unionByName, [start(k, shape) for k, shape in enumerate(kinds)])), "starts")
+
+
+def determinants(measured: DataFrame, n: int) -> DataFrame:
+    """__cell, __start and the estimate of each start after ``STEPS`` steps, for each of the ``n`` values of __cell of rows with __x0, __x1, ..."""
+    found = _starts(measured, n)
+    for _ in range(STEPS):
+        found = _concentrated(measured, found, STARTS * n)
+    return found
+
+
+def estimated(measured: DataFrame, n: int) -> DataFrame:
+    """__cell, m0, ... and s00, ... of the least determinant that was found for each cell."""
+    found = determinants(measured, n)
+    item = F.struct("__start", *MEANS, *SPREADS, *FACTORS)
+    found = found.groupBy("__cell").agg(F.min_by(item, F.struct("logdet", "__start")).alias("e")).select("__cell", "e.*")
+    for _ in range(MORE_STEPS):
+        found = _concentrated(measured, found, n)
+    return found.select("__cell", *MEANS, *SPREADS)
+
+
 def judge(stats: DataFrame, lang: str, source: str) -> DataFrame:
     """A row for each of ``stats`` (as ``statistics`` gives it), with base_failed and kept added."""
     columns = stats.columns
     rows = cut(
-        stats.select("*", F.col(lang).alias("__lang"), F.col(source).alias("__source"), base_failed().alias("__failed"), *[v.alias(f"__x{i}") for i, v in enumerate(vector())]),
+        stats.select("*", named(lang).alias("__lang"), named(source).alias("__source"), base_failed().alias("__failed"), *[v.alias(f"__x{i}") for i, v in enumerate(vector())]),
         "statistics",
     )
-    cells, feeds = _cells(rows)
+    cells, n = _cells(rows)
     of_row = F.col("__lang").eqNullSafe(F.col("__l")) & F.col("__source").eqNullSafe(F.col("__s"))
-    measured = rows.where("NOT __failed").join(feeds, of_row).select("__cell", *[f"__x{i}" for i in range(D)])
-    quartiles = measured.groupBy("__cell").agg(*[F.percentile(F.floor(BINS * F.col(f"__x{i}")), [0.25, 0.5, 0.75]).alias(f"q{i}") for i in range(D)])
-    start = cut(
-        quartiles.select(
-            "__cell",
-            *[(F.col(f"q{i}")[1] / BINS).alias(f"__med{i}") for i in range(D)],
-            *[F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / BINS / 1.349, F.lit(FLOOR[i])).alias(f"__iqr{i}") for i in range(D)],
-        ),
-        "medians",
-    )
-    centred = cut(_with(measured, start).select("__cell", *[c for c in measured.columns if c != "__cell"], *[c for c in start.columns if c != "__cell"]), "centred")
-    first = sum((F.pow((F.col(f"__x{i}") - F.col(f"__med{i}")) / F.col(f"__iqr{i}"), 2) for i in range(D)), F.lit(0.0))
-    scatter = _concentrated(centred.withColumn("__d", first))
-    for _ in range(STEPS):
-        scatter = _concentrated(_with(centred, scatter).select(*centred.columns, _distance().alias("__d")))
-    estimates = cells.join(scatter.withColumnRenamed("__cell", "__of"), F.col("__cell") == F.col("__of"), "left").drop("__cell", "__of")
-    met = rows.join(estimates, of_row, "left")
+    passed = rows.where("NOT __failed").select("__lang", "__source", *[f"__x{i}" for i in range(D)])
+    measured = passed.join(small_side(cells.select("__l", "__s", "__names"), n), of_row)
+    measured = cut(measured.select(F.explode("__names").alias("__cell"), *[f"__x{i}" for i in range(D)]), "measured")
+    found = estimated(measured, 2 * n + 1)
+    sizes = cells.select("*", F.col("__names")[0].alias("__c0"), F.col("__names")[1].alias("__c1"), F.col("__names")[2].alias("__c2"))
+    by_lang = cells.groupBy(F.col("__names")[1].alias("__c1")).agg(F.sum("__n").alias("__n1"))
+    met = sizes.join(by_lang, "__c1")
+    for k in range(3):
+        met = met.join(found.select(F.col("__cell").alias(f"__c{k}"), *[F.col(c).alias(f"e{k}_{c}") for c in (*MEANS, *SPREADS)]), f"__c{k}")
+    own, of_lang = F.col("__n") / (F.col("__n") + WORTH), F.col("__n1") / (F.col("__n1") + WORTH)
+    drawn = [(own * F.col(f"e0_{c}") + (1 - own) * (of_lang * F.col(f"e1_{c}") + (1 - of_lang) * F.col(f"e2_{c}"))).alias(c) for c in (*MEANS, *SPREADS)]
+    estimates = cut(_factored(met.select("__l", "__s", *drawn)).select("__l", "__s", *MEANS, *FACTORS), "estimates")
+    judged = rows.join(small_side(estimates, n), of_row, "left")
     far = F.coalesce(_distance() > CUTOFF, F.lit(False))
-    return met.select(*[rows[f"`{c}`"] for c in columns], F.col("__failed").alias("base_failed"), (~F.col("__failed") & ~far).alias("kept"))
+    return judged.select(*[named(c) for c in columns], F.col("__failed").alias("base_failed"), (~F.col("__failed") & ~far).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -219,6 +251,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def keep(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``df`` that pass, columns unchanged."""
-    packed = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("doc"), df[text].alias("its_text"), df[lang].alias("its_lang"), df[source].alias("its_source"))
+    packed = df.select(F.struct(*[named(c) for c in df.columns]).alias("doc"), named(text).alias("its_text"), named(lang).alias("its_lang"), named(source).alias("its_source"))
     judged = judge(statistics(packed, "its_text", ("doc", "its_lang", "its_source")), "its_lang", "its_source")
     return judged.where("kept").select("doc.*")
