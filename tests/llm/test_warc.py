@@ -6,6 +6,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import warc
 from tidemark.llm.common import scratch_path
@@ -71,9 +72,6 @@ def test_lookup_and_range_read(spark, index):
     assert index.lookup("com,missing)/").count() == 0
     host = index.lookup("example,a,", "example,a-")
     assert host.count() == sum(k.startswith("example,a,") for k in keys)
-    for e in index.entries().where("record_type = 'response'").collect():
-        raw = index.payload(e.file, e.offset, e.length)
-        assert base64.b32encode(hashlib.sha1(raw).digest()).decode() == e.payload_digest
     # a sparse directory gives the same entries
     sparse = warc.CaptureIndex(spark, index_path(index), index.archives, held=2)
     assert sparse.stride > 1
@@ -81,6 +79,34 @@ def test_lookup_and_range_read(spark, index):
         assert sparse.lookup(key).count() == keys.count(key), key
 
 
+@pytest.mark.parametrize(("held", "known"), [(1000, True), (2, True), (1000, False)])
+def test_fetch(spark, index, monkeypatch, held, known):
+    if not known:
+        monkeypatch.setattr(warc, "_opened", lambda path: None)
+    own = warc.CaptureIndex(spark, index_path(index), index.archives, held=held)
+    assert (own.stride == 1) == (held == 1000)
+    pages = spark.createDataFrame([*ROWS, (99, "http://missing/", ""), (1, None, "")], SCHEMA)
+    got = own.fetch(warc.keys_of(pages)).collect()
+    assert sorted([tuple(r)[:5] for r in got], key=repr) == sorted(brute(ROWS), key=repr)
+    for r in got:
+        if r.record_type == "response":
+            assert base64.b32encode(hashlib.sha1(r.payload).digest()).decode() == r.payload_digest
+        else:
+            assert r.payload == b""
+
+
+def test_index_and_record_must_agree(spark, index, monkeypatch):
+    whole = index.find
+    monkeypatch.setattr(index, "find", lambda keys: whole(keys).withColumn("payload_bytes", F.col("payload_bytes") + 1))
+    with pytest.raises(Exception, match="isn't what the index says"):
+        index.fetch(warc.keys_of(spark.createDataFrame(ROWS[:1], SCHEMA))).collect()
+
+
+def test_odd_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "x", 5, 6)], SCHEMA + ", `a.b` int, digest int")
+    assert warc.archive(pages, scratch_path(spark, "warc")).entries().count() == 1
+
+
 def index_path(index):
     return index.archives.rsplit("/", 1)[0] + "/index"
 
@@ -111,4 +137,5 @@ def test_surt(url, key):
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert warc.archive(df, scratch_path(spark, "warc")).entries().count() == 0
+    index = warc.archive(df, scratch_path(spark, "warc"))
+    assert index.entries().count() == 0 and index.fetch(warc.keys_of(df)).count() == 0

@@ -6,17 +6,21 @@ member. Records whose payload another record has (the one with the largest page_
 are revisits that refer to it and carry no payload.
 
 The index is made by reading the archives back, member by member. Its lines are keyed
-by the URL with the host reversed, sorted over all files, and packed into compressed
-blocks; a sparse directory holds the first and last key of each block. A lookup searches
-the directory by bisection, reads only the blocks in the range that it finds, searches
-inside them by bisection again, and then reads the record's bytes at its offset. Where
-the directory itself is long, every so many entries of it are held and the stretch
-between two is read.
+by the URL with the host reversed and the page_id, sorted over all files, and packed into
+compressed blocks; a sparse directory holds the first and last key of each block. A lookup
+searches the directory by bisection, reads only the blocks in the range that it finds,
+searches inside them by bisection again, and then reads the record's bytes at its offset.
+Where the directory itself is long, every so many entries of it are held and the stretch
+between two is read. Many keys are looked up at a time (``fetch``): they are dealt to
+their blocks, searched there, and the places found are read in the order of files and
+offsets, all of it on the executors. Bytes are read through ``pyarrow.fs``, or, where it
+doesn't know the store, cut out of files that Spark reads.
 
 Defined cases: null html is an empty payload; a null url has the empty key; rows with
 the largest page_id of equal payloads are responses, all of them if they are repeated;
 rows without page_id refer to the largest, or are responses where there is none; an empty
-table gives empty archives and an empty index; other columns are ignored.
+table gives empty archives and an empty index; equal rows are a record each; payloads of
+any length are stored whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches, table
+from .common import cut, scratch_path, small_batches, small_side, table
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 0
 #: Bytes of an archive file after which the next one begins; lines of an index block.
 FILE_BYTES = 24 << 20
 BLOCK_LINES = 3000
-#: Entries of the directory that a reader holds.
+#: Entries of the directory that a reader holds, besides the first of each partition of the index.
 HELD = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: A gzip member without content, which ends each file.
@@ -93,7 +97,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def member(raw: bytes) -> bytes:
-    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    c = zlib.compressobj(4, zlib.DEFLATED, 31)
     return c.compress(raw) + c.flush()
 
 
@@ -143,7 +147,8 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
     rows = pages.select("page_id", "url", F.coalesce(pages["html"].cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
     leads = rows.groupBy("digest", "size").agg(F.max("page_id").alias("lead"), F.count(F.lit(1)).alias("n")).where((F.col("size") >= revisit_bytes) & (F.col("n") > 1))
-    met = rows.join(leads.select("digest", "size", "lead"), ["digest", "size"], "left")
+    leads = cut(leads.select("digest", "size", "lead"), "leads")
+    met = rows.join(small_side(leads, leads.count()), ["digest", "size"], "left")
     refers = F.when(~F.col("lead").eqNullSafe(F.col("page_id")), F.col("lead"))
     info = member(b"WARC/1.1\r\n" + _head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:tidemark:warcinfo>"), ("WARC-Date", CAPTURED), ("Content-Type", "application/warc-fields"), ("Content-Length", "18")]) + b"\r\nformat: WARC 1.1\r\n\r\n\r\n")
 
@@ -189,8 +194,16 @@ def _rows(lines: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
+_BLOCK = "block long, first string, first_page long, last string, last_page long, n long, lines binary"
+
+
+def _key(surt_: str, page: int | None) -> tuple[str, bool, int]:
+    """Orders as the index is: by URL, then by page_id, null first."""
+    return surt_, page is not None, page or 0
+
+
 def build_index(entries: DataFrame, path: str, block_lines: int = BLOCK_LINES) -> None:
-    """Sorted, compressed blocks of ``entries`` under ``path``: block (ascending in the order of keys), first, last, n and lines."""
+    """Sorted, compressed blocks of ``entries`` under ``path``: block (ascending in the order of keys), first and last key, n and lines."""
     n = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["surt", "page_id", "file", "offset"]
     ranged = entries.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
@@ -202,7 +215,8 @@ def build_index(entries: DataFrame, path: str, block_lines: int = BLOCK_LINES) -
         def block() -> pa.RecordBatch:
             part = held[0][-1]
             lines = zlib.compress("\n".join(json.dumps(x[:-1]) for x in held).encode())
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([held[0][0]]), pa.array([held[-1][0]]), pa.array([len(held)], pa.int64()), pa.array([lines], pa.binary())], names=["block", "first", "last", "n", "lines"])
+            ends = [pa.array([held[k][c]], t) for k in (0, -1) for c, t in ((0, pa.string()), (1, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), *ends, pa.array([len(held)], pa.int64()), pa.array([lines], pa.binary())], names=["block", "first", "first_page", "last", "last_page", "n", "lines"])
 
         for batch in batches:
             for line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -214,32 +228,50 @@ def build_index(entries: DataFrame, path: str, block_lines: int = BLOCK_LINES) -
         if held:
             yield block()
 
-    ranged.mapInArrow(pack, "block long, first string, last string, n long, lines binary").write.parquet(path)
+    ranged.mapInArrow(pack, _BLOCK).write.parquet(path)
 
 
 def _unpacked(lines: bytes) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(lines).split(b"\n")]
 
 
+def _found(lines: list[list], keys: list[tuple]) -> list[tuple]:
+    """The lines of a block that have one of the keys, by bisection."""
+    out: list[tuple] = []
+    for key in keys:
+        at = bisect.bisect_left(lines, key, key=lambda x: _key(x[0], x[1]))
+        while at < len(lines) and _key(lines[at][0], lines[at][1]) == key:
+            out.append(tuple(lines[at]))
+            at += 1
+    return out
+
+
+def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+#: A key and the number of a block, or of a held entry, that it may lie in.
+_AT = (["at", "surt", "page_id"], [pa.int64(), pa.string(), pa.int64()])
+
+
 class CaptureIndex:
     """Reads an index that ``build_index`` has written, and the archives that it points into."""
 
     def __init__(self, spark: SparkSession, path: str, archives: str, held: int = HELD) -> None:
         self.spark, self.archives = spark, archives
-        self.blocks = spark.read.schema("block long, first string, last string, n long, lines binary").parquet(path)
-        directory = self.blocks.select("block", "first", "last")
-        total = directory.count()
-        #: Every ``stride``-th entry of the directory is held, so that there are ``held`` at most.
+        self.blocks = spark.read.schema(_BLOCK).parquet(path)
+        self.directory = self.blocks.select("block", "first", "first_page", "last", "last_page")
+        total = self.directory.count()
+        #: Of each partition of the index every ``stride``-th entry of the directory is held, from its first on.
         self.stride = -(-total // held) or 1
-        if self.stride == 1:
-            kept = directory
-        else:
-            kept = directory.where(F.pmod(F.xxhash64("block"), F.lit(self.stride)) == 0)
-        self.held = sorted((r["first"], r["block"]) for r in kept.select("first", "block").collect())
+        kept = self.directory.where(F.pmod(F.col("block").bitwiseAND((1 << 32) - 1), F.lit(self.stride)) == 0)
+        #: Key and number of each held block, ascending in both.
+        self.held = sorted((_key(r["first"], r["first_page"]), r["block"]) for r in kept.select("first", "first_page", "block").collect())
 
     def _range(self, low: str, high: str | None) -> tuple[int, int]:
         """Numbers of the first and last block that may hold keys from ``low`` up to and without ``high`` (None: to ``low`` itself)."""
-        firsts = [f for f, _ in self.held]
+        firsts = [f[0] for f, _ in self.held]
         a = bisect.bisect_left(firsts, low) - 1
         b = bisect.bisect_right(firsts, low) if high is None else bisect.bisect_left(firsts, high)
         least = self.held[a][1] if a >= 0 else 0
@@ -247,7 +279,7 @@ class CaptureIndex:
         return least, most
 
     def lookup(self, low: str, high: str | None = None) -> DataFrame:
-        """Entries of the key ``low``, or of the keys from ``low`` up to and without ``high`` (as for all of a host)."""
+        """Entries of the URL key ``low``, or of those from ``low`` up to and without ``high`` (as for all of a host)."""
         least, most = self._range(low, high)
         last = F.col("first") <= low if high is None else F.col("first") < high
         near = self.blocks.where(F.col("block").between(least, most) & last & (F.col("last") >= low))
@@ -272,17 +304,123 @@ class CaptureIndex:
 
         return self.blocks.select("lines").mapInArrow(unpack, ENTRY)
 
-    def payload(self, file: str, offset: int, length: int) -> bytes:
-        """The payload of one record, by a read of its bytes alone."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.archives}/{file}")
-        stream = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).open(path)
-        try:
-            stream.seek(offset)
-            raw = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
-        finally:
-            stream.close()
-        return parse(next(members(raw))[2])["payload"]
+    def _dealt(self, keys: DataFrame) -> DataFrame:
+        """``at`` (a block that the key may lie in), surt and page_id of each key."""
+        shared = self.spark.sparkContext.broadcast(self.held)  # bounded, see HELD
+        as_long = "at long, surt string, page_id long"
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            firsts, numbers = [f for f, _ in shared.value], [b for _, b in shared.value]
+            for batch in batches:
+                rows = []
+                for s, page in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    key = _key(s, page)
+                    for k in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
+                        rows.append((numbers[k], s, page))
+                yield from _table(rows, *_AT).to_batches()
+
+        dealt = keys.select("surt", "page_id").mapInArrow(held, as_long)
+        if self.stride == 1:
+            return dealt
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers = [b for _, b in shared.value]
+            for batch in batches:
+                own = [numbers[bisect.bisect_right(numbers, b) - 1] for b in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns], names=["held", *batch.schema.names])
+
+        def narrow(asked: pa.Table, part: pa.Table) -> pa.Table:
+            blocks = sorted((_key(r["first"], r["first_page"]), _key(r["last"], r["last_page"]), r["block"]) for r in part.to_pylist())
+            firsts, rows = [b[0] for b in blocks], []
+            for r in asked.to_pylist():
+                key = _key(r["surt"], r["page_id"])
+                k = bisect.bisect_right(firsts, key) - 1
+                while k >= 0 and blocks[k][1] >= key:
+                    rows.append((blocks[k][2], r["surt"], r["page_id"]))
+                    k -= 1
+            return _table(rows, *_AT)
+
+        # the stretches between held entries, of ``stride`` entries each
+        stretches = self.directory.mapInArrow(mark, "held long, block long, first string, first_page long, last string, last_page long")
+        return dealt.groupBy("at").cogroup(stretches.groupBy("held")).applyInArrow(narrow, as_long)
+
+    def find(self, keys: DataFrame) -> DataFrame:
+        """Entries of the distinct keys (columns surt and page_id)."""
+
+        def search(asked: pa.Table, block: pa.Table) -> pa.Table:
+            found: list[tuple] = []
+            if asked.num_rows:  # as many as the block has lines, at most
+                wanted = sorted(_key(r["surt"], r["page_id"]) for r in asked.to_pylist())
+                for blob in block.column("lines"):
+                    found += _found(_unpacked(blob.as_py()), wanted)
+            return _table(found, _ARROW.names, _ARROW.types)
+
+        dealt = self._dealt(keys.select("surt", "page_id").distinct())
+        return dealt.groupBy("at").cogroup(self.blocks.select("block", "lines").groupBy("block")).applyInArrow(search, ENTRY)
+
+    def fetch(self, keys: DataFrame) -> DataFrame:
+        """For each entry of the keys its record as it is read at its place: page_id, payload_bytes, payload_digest, record_type, refers_to and payload."""
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+        def checked(raw: bytes, line: dict) -> tuple:
+            r = parse(next(members(raw))[2])
+            own = (r["page_id"], r["bytes"], r["digest"], r["type"], r["refers_to"])
+            if own != tuple(line[n] for n in names[:5]):
+                raise ValueError(f"the record at {line['offset']} of {line['file']} isn't what the index says")
+            return (*own, r["payload"])
+
+        def batches_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            yield from _table(rows, names, types).to_batches()
+
+        archives, found = self.archives, self.find(keys)
+        if _opened(archives) is None:
+
+            def cut_out(lines: pa.Table, whole: pa.Table) -> pa.Table:
+                rows = []
+                for content in whole.column("content"):
+                    raw = memoryview(content.as_buffer())
+                    rows += [checked(bytes(raw[x["offset"] : x["offset"] + x["length"]]), x) for x in lines.to_pylist()]
+                return _table(rows, names, types)
+
+            files = self.spark.read.format("binaryFile").load(archives).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+            return found.groupBy("file").cogroup(files.groupBy("name")).applyInArrow(cut_out, schema)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, base = _opened(archives)
+            name, stream = None, None
+            for batch in batches:
+                rows, held = [], 0
+                for line in batch.to_pylist():
+                    if line["file"] != name:
+                        name, stream = line["file"], store.open_input_file(f"{base}/{line['file']}")
+                    rows.append(checked(stream.read_at(line["length"], line["offset"]), line))
+                    held += len(rows[-1][-1])
+                    if held >= FETCH_BYTES:
+                        yield from batches_of(rows)
+                        rows, held = [], 0
+                yield from batches_of(rows)
+
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        ordered = found.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
+        return small_batches(ordered).mapInArrow(read, schema)
+
+
+#: Payload bytes that are handed on at a time.
+FETCH_BYTES = 4 << 20
+
+
+def _opened(path: str):
+    """The store of ``path`` and the path in it as ``pyarrow.fs`` has them, or None where it doesn't know such stores."""
+    from pyarrow import fs
+
+    try:
+        store, base = fs.FileSystem.from_uri(path)
+        there = store.get_file_info(base).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+    return (store, base) if there else None
 
 
 def archive(pages: DataFrame, path: str) -> CaptureIndex:
@@ -293,9 +431,21 @@ def archive(pages: DataFrame, path: str) -> CaptureIndex:
     return CaptureIndex(spark, f"{path}/index", f"{path}/archives")
 
 
+def keys_of(pages: DataFrame) -> DataFrame:
+    """surt and page_id of each of ``pages``, as its record has them in the index."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [surt(" ".join((u or "").split())) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column(0)], names=["surt", "page_id"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(made, "surt string, page_id long")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    index = archive(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    return index.entries().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    index = archive(pages, scratch_path(spark, "warc"))
+    return index.fetch(keys_of(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""
