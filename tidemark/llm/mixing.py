@@ -16,8 +16,9 @@ are hashes of that rank, so reruns and lost tasks give the same result. All of i
 SQL operations.
 
 Defined cases: null text has size 0; a document of size 0 takes 0; null is a source of
-its own, the last; equal rows are drawn one by one; an empty table gives no rows; other
-columns are ignored.
+its own, the last; equal rows are drawn one by one; documents that tie in size are ranked
+by a hash; texts of any length are counted whole; an empty table gives no rows; other
+columns, whatever their names, are ignored, or passed on by ``take``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, global_prefix, table, words
+from .common import cut, fresh, global_prefix, named, row_key, small_side, table, words
 
 #: Weights of the sources by code point, repeating; share of all words to take; most copies.
 WEIGHTS = (5, 2, 1)
@@ -80,7 +81,7 @@ def mix(df: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "tex
     """A row for each of ``df``: k0, k1, ... (its keys), source, size, source_size, target, copies (0 to ``most``)."""
     names = [f"k{i}" for i in range(len(keys))]
     sized = cut(
-        df.select(*[df[k].alias(n) for k, n in zip(keys, names, strict=True)], df[source_col].alias("source"), F.size(words(df[text_col])).cast("long").alias("size")),
+        df.select(*[named(k).alias(n) for k, n in zip(keys, names, strict=True)], named(source_col).alias("source"), F.size(words(named(text_col))).cast("long").alias("size")),
         "sized",
     )
     goal = cut(targets(sized, weights, share, most), "targets")
@@ -135,17 +136,25 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("k0").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def take(df: DataFrame) -> DataFrame:
+def take(df: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row of ``df`` as often as it is taken, columns unchanged.
 
     Rows that are equal in all columns are drawn one by one and counted together: one of
-    them is repeated as often as all of them are taken.
+    them is repeated as often as all of them are taken. The draws are made on keys of rows;
+    whole rows meet their counts by a broadcast if these are few, else by a shuffle.
     """
-    named = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.withColumn("__h1", F.xxhash64(*named)).withColumn("__h2", F.xxhash64(F.lit(1), *named)) if df.columns else df
-    drawn = mix(keyed, ("__h1", "__h2"))
-    times = drawn.groupBy(F.col("k0").alias("__k0"), F.col("k1").alias("__k1")).agg(F.sum("copies").alias("__times"), F.count(F.lit(1)).alias("__rows"))
-    met = keyed.join(times, (keyed["__h1"] == times["__k0"]) & (keyed["__h2"] == times["__k1"])).where("__times > 0")
-    lone = met.where("__rows = 1")
-    equal = met.where("__rows > 1").dropDuplicates(["__h1", "__h2"])
-    return lone.unionByName(equal).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*df.columns)
+    key = fresh(df, "k0", "k1", "times")
+    marked = df.withColumns(dict(zip(key, row_key(df), strict=False)))
+    drawn = mix(marked, tuple(key[:2]), text, source)
+    times = drawn.groupBy(F.col("k0").alias(key[0]), F.col("k1").alias(key[1])).agg(F.sum("copies").cast("int").alias(key[2]), F.count(F.lit(1)).alias("__rows"))
+    times = cut(times.where(F.col(key[2]) > 0), "times")
+    n, most = times.agg(F.count(F.lit(1)), F.max("__rows")).head()
+
+    def met(some: DataFrame) -> DataFrame:
+        return marked.join(small_side(some.drop("__rows"), n), key[:2])
+
+    taken = met(times.where("__rows = 1"))
+    if (most or 0) > 1:
+        taken = taken.unionByName(met(times.where("__rows > 1")).dropDuplicates(key[:2]))
+    copies = F.explode(F.sequence(F.lit(1), F.col(key[2])))
+    return taken.withColumn(key[2], copies).select(*[named(c) for c in df.columns])
