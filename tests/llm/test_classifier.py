@@ -35,31 +35,68 @@ def test_unseen_documents(spark, docs):
     assert all(0 <= r.bad_score <= 1 and 0 <= r.toxic_score <= 1 for r in out.values())
 
 
+def strength(groups, base):
+    n = np.array([c for _, c in groups.values()])
+    rate, b = np.array([m for m, _ in groups.values()]), np.array([base[k] for k in groups])
+    apart, chance, all_ = (n * (rate - b) ** 2).sum() / n.sum(), (b * (1 - b)).sum() / n.sum(), (n * b * (1 - b)).sum() / n.sum()
+    share = min(max((apart - chance) / max(all_, 1e-12), 1e-4), 0.5)
+    return (1 - share) / share
+
+
+def plain_sites(seen, sites):
+    """Of each document the posterior of its path, with and without itself, and the global rate."""
+    host = [h for h, _ in sites]
+    mean = lambda keys: {k: (np.mean([v for v, q in zip(seen, keys) if q == k]), keys.count(k)) for k in set(keys)}
+    prior, hosts, paths = np.mean(seen), mean(host), mean(list(sites))
+    hk = strength(hosts, {h: prior for h in hosts})
+    shrunk = lambda total, n, base, k: (total + k * base) / (n + k)
+    rates = {h: shrunk(m * n, n, prior, hk) for h, (m, n) in hosts.items()}
+    k = strength(paths, {q: rates[q[0]] for q in paths})
+    out = []
+    for v, q in zip(seen, sites):
+        (m, n), (hm, hn) = paths[q], hosts[q[0]]
+        out.append((shrunk(m * n, n, rates[q[0]], k), shrunk(m * n - v, n - 1, shrunk(hm * hn - v, hn - 1, prior, hk), k), prior))
+    return out
+
+
 def test_posteriors_are_plain(spark):
     r = random.Random(2)
-    rows = [(r.choice(["a", "b", None]), r.choice(["x", "y"]), r.uniform(-4, 1), r.uniform(-5, 2)) for _ in range(300)] + [("rare", "x", 3.0, 3.0)]
-    got = {(x["__host"], x["__path"]): x for x in classifier.posteriors(spark.createDataFrame(rows, "h string, p string, bad_logit double, toxic_logit double"), "h", "p").collect()}
-    p = 1 / (1 + np.exp(-np.array([x[2] for x in rows])))
-    host, path = [x[0] for x in rows], [(x[0], x[1]) for x in rows]
-    mean = lambda keys: {k: (np.mean([v for v, q in zip(p, keys) if q == k]), keys.count(k)) for k in set(keys)}
-    prior = p.mean()
-
-    def strength(groups, base):
-        n = np.array([c for _, c in groups.values()])
-        rate, b = np.array([m for m, _ in groups.values()]), np.array([base[k] for k in groups])
-        apart, chance, all_ = (n * (rate - b) ** 2).sum() / n.sum(), (b * (1 - b)).sum() / n.sum(), (n * b * (1 - b)).sum() / n.sum()
-        share = min(max((apart - chance) / max(all_, 1e-12), 1e-4), 0.5)
-        return (1 - share) / share
-
-    hosts = mean(host)
-    k = strength(hosts, {h: prior for h in hosts})
-    rates = {h: (m * n + k * prior) / (n + k) for h, (m, n) in hosts.items()}
-    paths = mean(path)
-    k = strength(paths, {q: rates[q[0]] for q in paths})
-    for q, (m, n) in paths.items():
-        want = (m * n + k * rates[q[0]]) / (n + k)
-        assert got[q]["rate_bad"] == pytest.approx(want)
-        assert got[q]["shift_bad"] == pytest.approx(np.log(want / (1 - want)) - np.log(prior / (1 - prior)))
+    rows = [(r.choice(["a", "b", None]), r.choice(["x", "y"]), r.uniform(0, 0.7), r.uniform(0, 1)) for _ in range(300)] + [("rare", "x", 0.9, 0.9)]
+    got = {(x["__host"], x["__path"]): x for x in classifier.posteriors(spark.createDataFrame(rows, "h string, p string, seen_bad double, seen_toxic double"), "h", "p").collect()}
+    for row, (rate, _, _) in zip(rows, plain_sites([x[2] for x in rows], [x[:2] for x in rows])):
+        assert got[row[:2]]["rate_bad"] == pytest.approx(rate)
+
+
+def test_query_is_plain(spark, docs, monkeypatch):
+    """Scores by the fitted weights and plain sums over sites, for sparse sites and labelled documents too."""
+    rows, labels = corpus(300)
+    r = random.Random(9)
+    rows = [(*row[:2], r.choice(["en", "fr", None]), r.choice(["s1", "s2", *[f"rare{i}" for i in range(30)], None])) for row in rows] + [(900, None, None, "new"), (901, "", "en", "s1")]
+    frames = {"documents": docs(rows), "labels": spark.createDataFrame(labels[:150], LABELS)}
+    monkeypatch.setattr(classifier, "table", lambda spark, sf, name: frames[name])
+    got = {x.doc_id: x for x in classifier.query(spark, "").collect()}
+    model = classifier.fit(frames["documents"], frames["labels"])
+    z = model.score([(t or "").encode() for _, t, *_ in rows])
+    known = {i: (float(q == 0), float(t == 1)) for i, q, t in labels[:150]}
+    keep = {i: True for i, *_ in rows}
+    for k, target in enumerate(classifier.TARGETS):
+        seen = [known[i][k] if i in known else 1 / (1 + np.exp(-v)) for (i, *_), v in zip(rows, z[:, k])]
+        logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+        for (i, *_), v, (rate, alone, prior) in zip(rows, z[:, k], plain_sites(seen, [(row[3], row[2]) for row in rows])):
+            score = 1 / (1 + np.exp(-(v + logit(alone) - logit(prior))))
+            assert got[i][f"{target}_score"] == pytest.approx(score, abs=1e-9) and got[i][f"site_{target}"] == pytest.approx(rate)
+            keep[i] &= score < 0.5
+    assert {i: x.kept for i, x in got.items()} == keep
+
+
+def test_held_out_labels(spark):
+    """Labels of a fifth of the labelled documents, which nothing is learned from."""
+    sf = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    out = classifier.classify(documents, labels.where(fold != 0)).join(labels.where(fold == 0), "doc_id")
+    right = out.agg(F.avg((F.col("kept") == ((F.col("quality") == 1) & (F.col("toxic") == 0))).cast("int"))).first()[0]
+    assert right > 0.9
 
 
 def test_defined_cases(spark, docs):

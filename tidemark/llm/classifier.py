@@ -1,11 +1,12 @@
 """Quality classifier: evidence of the text, shrunk posteriors of its path and host.
 
 A linear classifier gives each document the log-odds of being bad and of being toxic.
-Sites say more: the mean probability of a host's documents is shrunk towards the global
-rate, and that of a path towards its host's. How strongly is estimated from how much
-more hosts (and paths in hosts) differ than chance would make them, by moments; a site
-with few documents has little say against what it is shrunk to. A document's final
-log-odds are its own plus what its path's posterior adds to the global rate. Sites are
+Sites say more: the mean of a host's documents, their labels where they have some and
+else their probabilities, is shrunk towards the global rate, and that of a path towards
+its host's. How strongly is estimated from how much more hosts (and paths in hosts)
+differ than chance would make them, by moments; a site with few documents has little say
+against what it is shrunk to. A document's final log-odds are its own plus what its
+path's posterior, made without the document itself, adds to the global rate. Sites are
 summed up by grouped aggregation, so that a hot host is a sum like any other.
 
 The classifier's features are hashed words and beginnings of words, and bins of the
@@ -17,8 +18,9 @@ over them is solved on the driver. All documents are scored, over their whole te
 Defined cases: null and empty texts have only the features of emptiness; a document with
 several labels counts as bad or toxic if one of them says so; null labels and labels
 without a document are ignored; without labels of both kinds the log-odds are the prior's
-(kept); null hosts and paths are sites of their own; equal rows count one by one; an empty
-table gives no rows.
+(kept); null hosts and paths are sites of their own; equal rows count one by one; of
+features that tie those in lower buckets are kept; texts of any length are read whole; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -132,11 +134,16 @@ def logistic(rows: np.ndarray, place: np.ndarray, n: int, d: int, y: np.ndarray,
     return w, b
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, bad and toxic (0 or 1) of each labelled document."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
+    return known.groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+
+
 def sample_labels(labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 5) -> DataFrame:
     """__id, bad and toxic of about ``rows`` labelled documents, chosen by a hash of doc_id."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
-    one = known.groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("bad"), F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    n = known.count()
+    one = known_labels(labels)
+    n = one.count()
     scale = 1 << 30
     drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(scale)) < int(scale * min(1.0, rows / max(1, n)))
     return one.where(drawn).select(F.col("doc_id").alias("__id"), "bad", "toxic")
@@ -225,35 +232,52 @@ def _strength(sites: DataFrame, rate: Column, base: Column, n: Column, name: str
 
 
 def posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
-    """__host, __path and the shift and posterior of each target for each path, from rows with log-odds."""
-    p = {t: 1 / (1 + F.exp(-F.col(f"{t}_logit"))) for t in TARGETS}
-    paths = cut(scored.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(t) for t, v in p.items()]), "paths")
+    """A row for each path: __host, __path, n, host_n, and for each target t its sum t, that of the host host_t, the global rate prior_t, how many documents it (host_k_t) and the host's rate (k_t) are worth, and the posterior rate_t.
+
+    ``scored`` has what is known of each document's targets as seen_t, from 0 to 1.
+    """
+    paths = cut(scored.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"seen_{t}").alias(t) for t in TARGETS]), "paths")
     hosts = paths.groupBy(F.col("__host").alias("__h")).agg(F.sum("n").alias("host_n"), *[F.sum(t).alias(f"host_{t}") for t in TARGETS])
     world = hosts.agg(F.sum("host_n").alias("all_n"), *[F.sum(f"host_{t}").alias(f"all_{t}") for t in TARGETS])  # one row
     hosts = hosts.crossJoin(F.broadcast(world))
     for t in TARGETS:
         base = F.col(f"all_{t}") / F.col("all_n")
-        strength = _strength(hosts, F.col(f"host_{t}") / F.col("host_n"), base, F.col("host_n"), f"k_{t}")
+        strength = _strength(hosts, F.col(f"host_{t}") / F.col("host_n"), base, F.col("host_n"), f"host_k_{t}")
         hosts = hosts.crossJoin(F.broadcast(strength)).withColumn(f"prior_{t}", base)
-        hosts = hosts.withColumn(f"host_rate_{t}", (F.col(f"host_{t}") + F.col(f"k_{t}") * base) / (F.col("host_n") + F.col(f"k_{t}")))
-    hosts = cut(hosts.select("__h", *[f"prior_{t}" for t in TARGETS], *[f"host_rate_{t}" for t in TARGETS]), "hosts")
-    met = paths.join(hosts, F.col("__host").eqNullSafe(F.col("__h")))
+    hosts = cut(hosts.drop("all_n", *[f"all_{t}" for t in TARGETS]), "hosts")
+    met = paths.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).drop("__h")
     for t in TARGETS:
-        base = F.col(f"host_rate_{t}")
+        base = _shrunk(F.col(f"host_{t}"), F.col("host_n"), F.col(f"prior_{t}"), F.col(f"host_k_{t}"))
         strength = _strength(met, F.col(t) / F.col("n"), base, F.col("n"), f"k_{t}")
-        met = met.crossJoin(F.broadcast(strength)).withColumn(f"rate_{t}", (F.col(t) + F.col(f"k_{t}") * base) / (F.col("n") + F.col(f"k_{t}")))
-    shift = [(_logit(F.col(f"rate_{t}")) - _logit(F.col(f"prior_{t}"))).alias(f"shift_{t}") for t in TARGETS]
-    return cut(met.select("__host", "__path", *shift, *[f"rate_{t}" for t in TARGETS]), "posteriors")
+        met = met.crossJoin(F.broadcast(strength)).withColumn(f"rate_{t}", _shrunk(F.col(t), F.col("n"), base, F.col(f"k_{t}")))
+    return cut(met, "posteriors")
+
+
+def _shrunk(sum_: Column, n: Column, base: Column, worth: Column) -> Column:
+    return (sum_ + worth * base) / (n + worth)
+
+
+def without_itself(t: str) -> Column:
+    """The posterior of a document's path without the document."""
+    own = F.col(f"seen_{t}")
+    host = _shrunk(F.col(f"host_{t}") - own, F.col("host_n") - 1, F.col(f"prior_{t}"), F.col(f"host_k_{t}"))
+    return _shrunk(F.col(t) - own, F.col("n") - 1, host, F.col(f"k_{t}"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, bad_score and toxic_score (0 to 1), the path's posteriors site_bad and site_toxic, and kept, for each row."""
-    model = fit(docs, labels, sample_rows)
-    own = docs.select("doc_id", docs[host].alias("__own_host"), docs[path].alias("__own_path"), "text")
-    scored = cut(evidence(own, model), "evidence")
+    return combined(docs, labels, fit(docs, labels, sample_rows), host, path)
+
+
+def combined(docs: DataFrame, labels: DataFrame, model: Linear, host: str = "source", path: str = "lang") -> DataFrame:
+    """The same by a classifier that has been fitted."""
+    own = docs.select("doc_id", named(host).alias("__own_host"), named(path).alias("__own_path"), "text")
+    known = known_labels(labels).select(F.col("doc_id").alias("__id"), *[F.col(t).alias(f"label_{t}") for t in TARGETS])
+    rows = cut(evidence(own, model).join(known, F.col("doc_id") == F.col("__id"), "left").drop("__id"), "evidence")
+    scored = rows.withColumns({f"seen_{t}": F.coalesce(F.col(f"label_{t}").cast("double"), 1 / (1 + F.exp(-F.col(f"{t}_logit")))) for t in TARGETS})
     sites = posteriors(scored, "__own_host", "__own_path")
     met = scored.join(sites, F.col("__own_host").eqNullSafe(F.col("__host")) & F.col("__own_path").eqNullSafe(F.col("__path")))
-    score = {t: 1 / (1 + F.exp(-(F.col(f"{t}_logit") + F.col(f"shift_{t}")))) for t in TARGETS}
+    score = {t: 1 / (1 + F.exp(-(F.col(f"{t}_logit") + _logit(without_itself(t)) - _logit(F.col(f"prior_{t}"))))) for t in TARGETS}
     return met.select(
         "doc_id",
         *[v.alias(f"{t}_score") for t, v in score.items()],
