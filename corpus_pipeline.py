@@ -8,50 +8,16 @@ folder and reads it again for the next, so a lost executor costs no more than on
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, dedup, mixing, quality_rules, secrets
+from tidemark.llm import pipeline
 from tidemark.llm.common import cut, table
 
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE_WORDS = 5
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the fixed limits and are no outliers in their language and source."""
-    return quality_rules.keep(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return dedup.keep_one(docs, SHINGLE_WORDS)
-
-
-def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind; n_chars follows the text."""
-    clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
-    return mixing.take(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, and the digests of ids and decoded text."""
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(docs, path, ("doc_id", "source"))
-
-
 STAGES = [
-    ("quality rules", quality),
-    ("near duplicates", near_duplicates),
-    ("secret scans", without_secrets),
-    ("mixing sources", mix),
-    ("bpe encoding", encode),
+    ("quality rules", pipeline.quality),
+    ("near duplicates", pipeline.near_duplicates),
+    ("secret scans", pipeline.without_secrets),
+    ("mixing sources", pipeline.mix),
+    ("bpe encoding", pipeline.encode),
 ]
 
 #: Robust distances, sketches and dependent draws are beyond SQL; tests hold the stages against brute force.
