@@ -18,9 +18,6 @@ def blank(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) == ""
 
 
-is_entry = blank  # an entry page is one without a page before it
-
-
 def to_millis(text: Column) -> Column:
     """Milliseconds of a ``yyyy-MM-dd HH:mm:ss`` text in the session's zone; null if it doesn't parse."""
     return F.unix_millis(F.try_to_timestamp(text, F.lit(SECONDS)))
@@ -31,10 +28,6 @@ def event_time(text: Column, fallback: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text, F.lit(SECONDS)), fallback)
 
 
-def from_millis(millis: Column) -> Column:
-    return F.timestamp_millis(millis)
-
-
 def whole_seconds(millis: Column) -> Column:
     """Row time of the SQL tables: milliseconds cut to seconds."""
     return F.timestamp_seconds(F.floor(millis / 1000))
@@ -115,8 +108,3 @@ def camel(name: str) -> str:
 
 def with_camel_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[camel(c) for c in df.columns])
-
-
-def first_known(df: DataFrame, other: str, names: list[str]) -> DataFrame:
-    """Fills nulls of ``names`` from the columns of the same name with suffix ``other``."""
-    return df.withColumns({n: F.coalesce(F.col(n), F.col(n + other)) for n in names})

@@ -20,9 +20,20 @@ def latin_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({LATIN})"))
 
 
+#: Words of a dictionary up to which it is part of the expression.
+INLINE = 500
+
+
 def words(text: Column, dictionary: Iterable[str] = ()) -> Column:
-    """All words of a text, native: Latin ones, then those of its CJK runs."""
+    """All words of a text: Latin ones, then those of its CJK runs.
+
+    Native with a short dictionary; a longer one is looked up as a hash set in Arrow
+    batches, so that neither the plan nor the time for a character grows with it.
+    """
     known = sorted(set(dictionary), key=lambda w: (-len(w), w))
+    if len(known) > INLINE:
+        held, longest = frozenset(known), len(known[0])
+        return F.udf(lambda t: list(split_text(t, held, longest)), "array<string>", useArrow=True)(text)
     longest = max(map(len, known), default=1)
     listed = F.array(*[F.lit(w) for w in known]) if known else F.array().cast("array<string>")
 
@@ -38,17 +49,18 @@ def words(text: Column, dictionary: Iterable[str] = ()) -> Column:
     return F.concat(latin_words(text), F.flatten(F.transform(runs, of_run)))
 
 
-def split_text(text: str | None, dictionary: frozenset[str] = frozenset()) -> Iterator[str]:
+def split_text(text: str | None, dictionary: frozenset[str] = frozenset(), longest: int | None = None) -> Iterator[str]:
     """The same words in Python."""
     import re
 
     if text is None:
         return
     yield from re.findall(LATIN, text.lower())
-    longest = max(map(len, dictionary), default=1)
+    longest = longest or max(map(len, dictionary), default=1)
     for run in re.findall("[㐀-鿿]+", text):
         spans = [(i, n) for i in range(len(run)) for n in range(1, longest + 1) if run[i : i + n] in dictionary and i + n <= len(run)]
-        spans += [(i, 1) for i in range(len(run)) if not any(a <= i < a + n for a, n in spans)]
+        covered = {k for a, n in spans for k in range(a, a + n)}
+        spans += [(i, 1) for i in range(len(run)) if i not in covered]
         yield from (run[i : i + n] for i, n in sorted(spans))
 
 

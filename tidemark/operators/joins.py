@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def interval_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], left_time: str, right_time: str, low: str, high: str) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], left_time: str, right_time: str, low: str, high: str, delay: str | None = None) -> DataFrame:
     """Inner join on equal keys where the right time lies in [left time + ``low``, left time + ``high``], bounds included.
 
     ``low`` and ``high`` are intervals such as ``"-5 seconds"``. Column names of the two
-    sides must differ. On streams with watermarks on both times the same condition
-    bounds the state, and rows behind the watermark are dropped.
+    sides must differ. Streams give the ``delay`` of the watermarks on both times: the same
+    condition then bounds the state, and rows behind the watermark are dropped.
     """
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"both sides have {sorted(clash)}")
+    if delay:
+        left, right = left.withWatermark(left_time, delay), right.withWatermark(right_time, delay)
     lt, rt = F.col(left_time), F.col(right_time)
     near = (rt >= lt + F.expr(f"INTERVAL '{low}'")) & (rt <= lt + F.expr(f"INTERVAL '{high}'"))
     for a, b in on.items():

@@ -8,17 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.scalar import blank, keep_keys
+from ..functions.scalar import keep_keys, to_millis
 from .versions import latest_by_key
 
 CORRUPT = "_corrupt"
 
 
 def parse(df: DataFrame, schema: str = schemas.LOG, value: str = "value") -> DataFrame:
-    """``data`` (the parsed JSON text), ``corrupt`` (whether it didn't parse) and the text, which passes through."""
+    """``data`` (the parsed JSON text), ``corrupt`` (whether it didn't parse) and the text, which passes through.
+
+    A generator makes the parsed record a column of its own, so that each text is parsed
+    once however many of its fields are asked for.
+    """
     fields = f"{schema.strip()}, {CORRUPT} STRING"
     parsed = F.from_json(F.col(value), fields, {"columnNameOfCorruptRecord": CORRUPT})
-    data = df.withColumn("data", parsed)
+    data = df.select("*", F.inline_outer(F.array(F.struct(parsed.alias("data")))).alias("data"))
     return data.withColumn("corrupt", F.col("data").isNull() | F.coalesce(F.col(f"data.{CORRUPT}").isNotNull(), F.lit(False)))
 
 
@@ -49,6 +53,12 @@ def explode_displays(pages: DataFrame, displays: str = "displays", page_id: str
     return pages.select(F.col(page_id).alias("page_id"), F.explode(displays).alias("d")).select("page_id", "d.*")
 
 
+def split_times(rows: DataFrame, text: str = "create_time") -> tuple[DataFrame, DataFrame]:
+    """Rows whose time is one, and the others, which no interval join could place."""
+    good = F.coalesce(to_millis(F.col(text)).isNotNull(), F.lit(False))
+    return rows.where(good), rows.where(~good)
+
+
 def without_deletes(changes: DataFrame, kind: str = "type") -> DataFrame:
     """Changes that aren't deletions; a change without a type is dropped too."""
     return changes.where(F.col(kind) != "delete")
@@ -75,10 +85,6 @@ def to_sink(routed: DataFrame, kind: str) -> DataFrame:
     return routed.where(F.col("sinkType") == kind)
 
 
-def entry_pages(pages: DataFrame, last_page: str = "last_page_id") -> DataFrame:
-    return pages.where(blank(F.col(last_page)))
-
-
 def searches(views: DataFrame) -> DataFrame:
     """Page views (maps) that a search led to, with what was searched for."""
     return views.where("page['last_page_id'] = 'search' AND page['item'] IS NOT NULL").select(F.col("page")["item"].alias("full_word"), *[c for c in views.columns if c not in ("page", "common")])

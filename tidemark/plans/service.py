@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scalar import blank, seconds_text
 from ..operators.joins import enrich
-from ..operators.routing import searches, union_all
-from ..operators.windows import tumble
+from ..operators.routing import union_all
+from ..operators.windows import tumble, tumble_by_id
 
 WINDOW = "10 seconds"
 VISITOR_KEYS = ["vc", "ch", "ar", "is_new"]
@@ -89,9 +89,14 @@ def product_union(pages: DataFrame, orders: DataFrame, payments: DataFrame, cart
 
 
 def product_stats(rows: DataFrame, event_time: str = "event_time", window: str = WINDOW, streaming: bool = False) -> DataFrame:
-    """Sums and distinct orders by window and sku; dimensions come after, when there are fewer rows."""
-    aggs = [F.sum(c).alias(c) for c in (*PRODUCT_SUMS, *PRODUCT_AMOUNTS)] + [F.min("ts").alias("ts")]
-    return tumble(rows, event_time, window, ["sku_id"], aggs, PRODUCT_IDS, streaming)
+    """Sums and distinct orders by window and sku; dimensions come after, when there are fewer rows.
+
+    A record's order, payment and refund ids, where it has them, are one order's id.
+    """
+    aggs = {c: F.sum for c in (*PRODUCT_SUMS, *PRODUCT_AMOUNTS)} | {"ts": F.min}
+    if streaming:
+        return tumble(rows, event_time, window, ["sku_id"], [f(c).alias(c) for c, f in aggs.items()], PRODUCT_IDS, streaming)
+    return tumble_by_id(rows, event_time, window, ["sku_id"], aggs, PRODUCT_IDS)
 
 
 def with_product_dimensions(stats: DataFrame, dims: Mapping[str, DataFrame], how: str = "left") -> DataFrame:
@@ -129,7 +134,3 @@ def keyword_stats(views: DataFrame, words: Column, rt: str = "rt", window: str =
     tokens = views.select(rt, F.explode(words).alias("keyword"))
     counted = tokens.groupBy(F.window(rt, window).alias("w"), "keyword").agg(F.count(F.lit(1)).alias("ct"))
     return counted.select("keyword", "ct", F.lit(source).alias("source"), seconds_text(F.col("w.start")).alias("stt"), seconds_text(F.col("w.end")).alias("edt"))
-
-
-def search_words(views: DataFrame) -> DataFrame:
-    return searches(views)

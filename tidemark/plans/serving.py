@@ -27,7 +27,11 @@ def today(day: int = 0) -> int:
 
 
 def _of_day(stats: DataFrame, day: int) -> DataFrame:
-    return stats.where(on_day(F.col("stt").cast("timestamp_ntz"), today(day)))
+    """The rows of a day; tables that are partitioned by ``dt`` read that folder alone."""
+    number = today(day)
+    if "dt" in stats.columns:
+        stats = stats.where(F.col("dt") == f"{number // 10000:04}-{number // 100 % 100:02}-{number % 100:02}")
+    return stats.where(on_day(F.col("stt").cast("timestamp_ntz"), number))
 
 
 def gmv(stats: DataFrame, day: int = 0) -> DataFrame:

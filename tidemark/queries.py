@@ -18,9 +18,9 @@ from .functions import scalar, tokens
 from .operators import joins, keyed, routing, versions
 from .operators.windows import tumble
 from .plans import middle, service, serving
-from .sources import readers
+from .sources import readers, sinks
 from .streaming import jobs, processors
-from .streaming.run import drained, streamed
+from .streaming.run import drained, streamed, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,10 +144,10 @@ def click_display_flatmap(spark, sf):
     return service.clicks_and_displays(product_pages(spark, sf)).select("sku_id", "click_ct", "display_ct", "ts")
 
 
-def order_changes(spark, sf):
+def order_changes(orders):
     kind = F.when(F.col("o_orderstatus") == "F", "insert").when(F.col("o_orderstatus") == "O", "update").otherwise("delete")
     after = F.create_map(F.lit("id"), F.col("o_orderkey").cast("string"), F.lit("customer"), F.col("o_custkey").cast("string"), F.lit("status"), F.col("o_orderstatus"))
-    return table(spark, sf, "orders").select(F.lit("shop").alias("database"), F.lit("order_info").alias("tableName"), after.alias("after"), kind.alias("type"))
+    return orders.select(F.lit("shop").alias("database"), F.lit("order_info").alias("tableName"), after.alias("after"), kind.alias("type"))
 
 
 def order_routes(spark):
@@ -157,14 +157,14 @@ def order_routes(spark):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 'insert' ELSE 'update' END AS type FROM orders WHERE o_orderstatus IN ('F', 'O')")
 def cdc_filter_delete(spark, sf):
-    return routing.without_deletes(order_changes(spark, sf)).select(F.col("after")["id"].alias("id"), "type")
+    return routing.without_deletes(order_changes(table(spark, sf, "orders"))).select(F.col("after")["id"].alias("id"), "type")
 
 
 @query("SELECT 'dwd_order_info' AS topic, CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS customer FROM orders WHERE o_orderstatus = 'F'")
 def cdc_route_fact(spark, sf):
     from .plans.detail import database_changes
 
-    facts = database_changes(order_changes(spark, sf), order_routes(spark)).facts
+    facts = database_changes(order_changes(table(spark, sf, "orders")), order_routes(spark)).facts
     return facts.select("topic", *[F.get_json_object("value", f"$.{k}").alias(k) for k in ("id", "status", "customer")])
 
 
@@ -172,12 +172,12 @@ def cdc_route_fact(spark, sf):
 def cdc_route_dim(spark, sf):
     from .plans.detail import database_changes, dimension_rows
 
-    return dimension_rows(database_changes(order_changes(spark, sf), order_routes(spark)).dims, "DIM_ORDER", "id,customer,absent")
+    return dimension_rows(database_changes(order_changes(table(spark, sf, "orders")), order_routes(spark)).dims, "DIM_ORDER", "id,customer,absent")
 
 
 @query("SELECT CASE o_orderstatus WHEN 'F' THEN 'id,status' ELSE 'customer,id' END AS names, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def cdc_prune_columns(spark, sf):
-    routed = routing.route(order_changes(spark, sf), order_routes(spark))
+    routed = routing.route(order_changes(table(spark, sf, "orders")), order_routes(spark))
     return routed.groupBy(F.array_join(F.array_sort(F.map_keys("after")), ",").alias("names")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -208,6 +208,16 @@ def user_jump_detail(spark, sf):
     return keyed.bounces(pages(spark, sf), 6 * HOUR_MS).select("arrival", "mid", "ts")
 
 
+@query(ORACLES["unique_visit_lag"])
+def unique_visit_pieces(spark, sf):
+    return keyed.unique_visits(pages(spark, sf), piece=F.floor(F.col("arrival") / 2000)).select("arrival", "mid", "day")
+
+
+@query(ORACLES["user_jump_detail"])
+def user_jump_pieces(spark, sf):
+    return keyed.bounces(pages(spark, sf), 6 * HOUR_MS, piece=F.floor(F.col("ts") / HOUR_MS)).select("arrival", "mid", "ts")
+
+
 # --- joins ---
 
 
@@ -234,11 +244,19 @@ def interval_join_asym(spark, sf):
   FROM p b JOIN p c ON b.mid = c.mid AND b.event_type = 'purchase' AND c.event_type = 'click'
   AND date_trunc('second', c.tm) BETWEEN date_trunc('second', b.tm) - INTERVAL 1 HOUR AND date_trunc('second', b.tm) + INTERVAL 5 MINUTE""")
 def payment_merge(spark, sf):
-    p = pages(spark, sf).withColumn("create_time", F.date_format("at", scalar.SECONDS))
+    return merged_payments(middle.payment_wide(*payments(pages(spark, sf)), ("-1 hour", "5 minutes")))
+
+
+def payments(p):
+    """Purchases as payments, and clicks as the wide orders of their users."""
+    p = p.withColumn("create_time", F.date_format("at", scalar.SECONDS))
     money = F.col("value").cast("decimal(18,2)")
     pay = p.where("event_type = 'purchase'").select(F.col("arrival").alias("id"), F.col("mid").alias("order_id"), (F.col("mid") + 1000).alias("user_id"), money.alias("total_amount"), F.lit("s").alias("subject"), F.lit("1101").alias("payment_type"), "create_time", F.col("create_time").alias("callback_time"))
     wide = p.where("event_type = 'click'").select(F.col("arrival").alias("detail_id"), F.col("mid").alias("order_id"), F.col("mid").alias("user_id"), (money + 1).alias("total_amount"), "create_time", *[F.lit(None).cast("string").alias(c) for c in schemas.ORDER_WIDE if c not in ("detail_id", "order_id", "user_id", "total_amount", "create_time")])
-    met = middle.payment_wide(pay, wide, ("-1 hour", "5 minutes"))
+    return pay, wide
+
+
+def merged_payments(met):
     return met.select("payment_id", "detail_id", "user_id", F.col("total_amount").cast("double").alias("total_amount"), "payment_create_time", "order_create_time")
 
 
@@ -297,11 +315,25 @@ def order_wide_chain(spark, sf):
 @query("""SELECT o_orderkey AS order_id, l_linenumber::BIGINT AS detail_id, strftime(o_orderdate, '%Y-%m-%d') AS create_date, '00' AS create_hour, l_quantity::BIGINT AS sku_num
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 30 DAY AND o_orderdate + INTERVAL 30 DAY""")
 def order_wide_join(spark, sf):
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    info, detail = order_parts(table(spark, sf, "orders"), table(spark, sf, "lineitem"))
+    return middle.order_wide(info, detail, ("-30 days", "30 days")).select("order_id", "detail_id", "create_date", "create_hour", "sku_num")
+
+
+def order_parts(o, li):
+    """Orders and lineitem as orders and their details."""
     null = lambda kind: F.lit(None).cast(kind)
-    info = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("total_amount"), F.date_format("o_orderdate", scalar.SECONDS).alias("create_time"))
+    info = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), (F.col("o_custkey") % 25).alias("province_id"), F.col("o_totalprice").cast("decimal(18,2)").alias("total_amount"), F.date_format("o_orderdate", scalar.SECONDS).alias("create_time"))
     detail = li.select(F.col("l_linenumber").cast("bigint").alias("id"), F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.col("l_quantity").cast("bigint").alias("sku_num"), F.date_format("l_shipdate", scalar.SECONDS).alias("create_time"), *[null("decimal(18,2)").alias(c) for c in ("order_price", "split_total_amount", "split_activity_amount", "split_coupon_amount")], null("string").alias("sku_name"))
-    return middle.order_wide(info, detail, ("-30 days", "30 days")).select("order_id", "detail_id", "create_date", "create_hour", "sku_num")
+    return info, detail
+
+
+@query("SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'dirty' ELSE 'clean' END AS side, count(*) AS n FROM orders GROUP BY 1")
+def create_time_dirty(spark, sf):
+    info, _ = order_parts(table(spark, sf, "orders"), table(spark, sf, "lineitem"))
+    text = F.when(F.col("id") % 14 == 0, "2020-13-45 00:00:00").when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("create_time"))
+    good, bad = routing.split_times(info.withColumn("create_time", text))
+    count = lambda df, side: df.groupBy(F.lit(side).alias("side")).agg(F.count(F.lit(1)).alias("n"))
+    return count(good, "clean").unionByName(count(bad, "dirty"))
 
 
 @query("""SELECT c_custkey, date_sub('year', DATE '1960-01-01' + CAST(c_custkey * 5 AS INTEGER), DATE '2020-12-04')::INTEGER AS age,
@@ -350,15 +382,39 @@ def tumble_10s_counts(spark, sf):
     return tumble(pages(spark, sf), "at", service.WINDOW, ["event_type"], [F.count(F.lit(1)).alias("n")])
 
 
+def sold_lines(spark, sf):
+    """Order details with their order's time, and what is returned and shipped."""
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    met = o.join(li, o["o_orderkey"] == li["l_orderkey"])
+    return met.select(
+        F.col("o_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.col("l_quantity").cast("bigint").alias("sku_num"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
+        "l_returnflag", "l_linestatus", scalar.ntz_millis(F.col("o_orderdate")).alias("ts"), F.col("o_orderdate").alias("at"),
+    )
+
+
 def product_records(spark, sf):
-    """Orders from all details, payments from returned ones, refunds from linestatus O, comments, carts and favours from what is left."""
-    w = wide_orders(spark, sf).withColumns({"ts": scalar.ntz_millis(F.col("o_orderdate")), "at": F.col("o_orderdate")})
-    flags = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ok"), "l_returnflag", "l_linestatus", F.col("l_partkey").alias("sku_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("refund_amount"))
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), scalar.ntz_millis(F.col("o_orderdate")).alias("ts"), F.col("o_orderdate").alias("at"))
-    f = flags.join(o, F.col("ok") == F.col("order_id")).withColumn("appraise", F.when(F.col("l_returnflag") == "A", "1201").otherwise("1203"))
-    none = pages(spark, sf).where("false").select("at", "ts", F.lit("x").alias("page_id"), F.lit("x").alias("item"), F.lit("x").alias("item_type"), F.array(F.struct(F.lit("x").alias("item"), F.lit("x").alias("item_type"))).alias("displays"))
-    paid = f.withColumn("split_total_amount", F.col("refund_amount")).where("l_returnflag = 'R'")
-    return service.product_union(none, w, paid, f.where("l_linestatus = 'F'"), f.where("l_linestatus = 'O'"), f.where("l_returnflag = 'N'"), f.where("l_returnflag = 'A' OR l_linestatus = 'F'"), "at")
+    """A record for each detail: an order always, paid if returned, refunded, commented on, put into a cart or liked as its flags say."""
+    r, s = F.col("l_returnflag"), F.col("l_linestatus")
+    count = lambda test: F.when(test, 1).otherwise(0)
+    return service.product_rows(
+        sold_lines(spark, sf), "at", favor_ct=count(s == "O"), cart_ct=count(s == "F"), order_sku_num=F.col("sku_num"), order_amount=F.col("amount"), order_id=F.col("order_id"),
+        payment_amount=F.when(r == "R", F.col("amount")).otherwise(0), paid_id=F.when(r == "R", F.col("order_id")), refund_amount=F.when(r == "N", F.col("amount")).otherwise(0), refund_id=F.when(r == "N", F.col("order_id")),
+        comment_ct=count((r == "A") | (s == "F")), good_comment_ct=count(r == "A"),
+    )
+
+
+@query("""SELECT l_partkey AS sku_id, 0::BIGINT AS display_ct, count(*) FILTER (l_linestatus = 'O')::BIGINT AS favor_ct, count(*) FILTER (l_linestatus = 'F')::BIGINT AS cart_ct, sum(l_quantity::BIGINT)::BIGINT AS order_sku_num,
+  sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS order_amount, coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (l_returnflag = 'R'), 0)::DOUBLE AS payment_amount,
+  coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (l_returnflag = 'N'), 0)::DOUBLE AS refund_amount, count(*) FILTER (l_returnflag = 'A' OR l_linestatus = 'F')::BIGINT AS comment_ct, count(*) FILTER (l_returnflag = 'A')::BIGINT AS good_comment_ct,
+  count(*) AS orders, count(*) FILTER (l_returnflag = 'R') AS paid, count(*) FILTER (l_returnflag = 'N') AS refunds FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""")
+def union_product(spark, sf):
+    """The union of seven sources: orders, payments, carts, favours, refunds, comments, and pages without products."""
+    d = sold_lines(spark, sf).withColumns({"split_total_amount": F.col("amount"), "refund_amount": F.col("amount"), "appraise": F.when(F.col("l_returnflag") == "A", "1201").otherwise("1203")})
+    none = product_pages(spark, sf).where("item = 'none'")
+    rows = service.product_union(none, d, d.where("l_returnflag = 'R'"), d.where("l_linestatus = 'F'"), d.where("l_linestatus = 'O'"), d.where("l_returnflag = 'N'"), d.where("l_returnflag = 'A' OR l_linestatus = 'F'"))
+    sums = ["display_ct", "favor_ct", "cart_ct", "order_sku_num", "order_amount", "payment_amount", "refund_amount", "comment_ct", "good_comment_ct"]
+    ids = {"orders": "order_id", "paid": "paid_id", "refunds": "refund_id"}
+    return doubles(rows.groupBy("sku_id").agg(*[F.sum(c).alias(c) for c in sums], *[F.count(c).alias(n) for n, c in ids.items()]))
 
 
 #: Product records by day and sku in DuckDB; amounts are exact before they become doubles.
@@ -395,8 +451,8 @@ def province_view(spark, sf):
     out.withColumn("rt", F.col("o_orderdate")).createOrReplaceTempView("order_wide")
 
 
-def province_oracle(amount: str) -> str:
-    return f"""SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stt, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS edt, o_custkey % 25 AS province_id, n_name AS province_name,
+def province_oracle(amount: str, start: str = "o_orderdate", days: int = 1) -> str:
+    return f"""SELECT strftime({start}, '%Y-%m-%d %H:%M:%S') AS stt, strftime({start} + INTERVAL {days} DAY, '%Y-%m-%d %H:%M:%S') AS edt, o_custkey % 25 AS province_id, n_name AS province_name,
   n_regionkey::VARCHAR AS area_code, n_name AS iso_code, n_name AS iso_3166_2, sum({amount})::DOUBLE AS order_amount, count(DISTINCT o_orderkey) AS order_count, 0::BIGINT AS ts
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN nation ON n_nationkey = o_custkey % 25 GROUP BY ALL"""
 
@@ -556,6 +612,135 @@ def stream_daily_visits(spark, sf):
     return drained(jobs.daily_visits(entries)).select("mid", "day")
 
 
-def files_of(spark: SparkSession, sf: str, name: str, stream: bool = False) -> DataFrame:
-    """A table by the file source."""
-    return readers.table_files(spark, f"{sf}/{name}.parquet", stream=stream)
+@query("""SELECT l_linenumber::BIGINT AS detail_id, o_orderkey AS order_id, l_partkey AS sku_id, strftime(o_orderdate, '%Y-%m-%d') AS create_date, n_name AS province_name, c_mktsegment AS user_gender,
+  date_sub('year', DATE '1960-01-01' + CAST(o_custkey * 5 AS INTEGER), DATE '2020-12-04')::INTEGER AS user_age, p_name AS sku_name, p_brand AS tm_name, 'category ' || p_size AS category3_name
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 30 DAY AND o_orderdate + INTERVAL 30 DAY
+  JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = o_custkey % 25 JOIN part ON p_partkey = l_partkey""")
+def stream_order_wide(spark, sf):
+    info, detail = order_parts(streamed(spark, f"{sf}/orders.parquet"), streamed(spark, f"{sf}/lineitem.parquet"))
+    wide = jobs.order_wide(info, detail, dimensions(spark, sf), F.lit("2020-12-04").cast("date"), ("-30 days", "30 days"))
+    return drained(wide.select("detail_id", "order_id", "sku_id", "create_date", "province_name", "user_gender", "user_age", "sku_name", "tm_name", "category3_name"))
+
+
+@query(ORACLES["payment_merge"])
+def stream_payment_merge(spark, sf):
+    return drained(merged_payments(jobs.payment_wide(*payments(page_stream(spark, sf)), ("-1 hour", "5 minutes"))))
+
+
+HALF_TIMED = "CASE WHEN arrival % 3 = 0 THEN tm ELSE date_trunc('second', tm) END"
+
+
+@query(f"""WITH {P}, t AS (SELECT event_type, {HALF_TIMED} AS tm FROM p) SELECT strftime(time_bucket(INTERVAL 1 HOUR, tm), '%Y-%m-%d %H:%M:%S') AS stt, event_type, count(*) AS n FROM t
+  WHERE time_bucket(INTERVAL 1 HOUR, tm) + INTERVAL 1 HOUR <= (SELECT max(tm) - INTERVAL 1 SECOND FROM t) GROUP BY ALL""")
+def stream_timestamp_fallback(spark, sf):
+    p = page_stream(spark, sf).withColumns({"record_time": F.col("at").cast("timestamp"), "text": F.when(F.col("arrival") % 3 == 0, "not a time").otherwise(F.date_format("at", scalar.SECONDS))})
+    timed = jobs.timed_by_text(p.select("event_type", "text", "record_time"), "text", jobs.DELAYS["sql"], "record_time")
+    return drained(tumble(timed, "event_time", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")], streaming=True)).select("stt", "event_type", "n")
+
+
+@query(ORACLES["cdc_route_fact"])
+def stream_cdc_route(spark, sf):
+    folder = work_folder(spark)
+    kept = lambda dims, number: dims.select("sinkTable", F.to_json("after").alias("value")).write.mode("overwrite").parquet(f"{folder}/dims/batch={number}")
+    facts = lambda messages, number: sinks.write_topics(messages, f"{folder}/topics", batch=number)
+    jobs.route(order_changes(streamed(spark, f"{sf}/orders.parquet")), lambda: order_routes(spark), f"{folder}/checkpoint", facts, kept).awaitTermination()
+    found = spark.read.schema("value STRING, batch INT, topic STRING").text(f"{folder}/topics")
+    return found.select("topic", *[F.get_json_object("value", f"$.{k}").alias(k) for k in ("id", "status", "customer")])
+
+
+@query("""WITH t AS (SELECT *, o_custkey % 25 AS pid FROM orders) SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stt, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS edt, pid AS province_id, n_name AS province_name,
+  n_regionkey::VARCHAR AS area_code, n_name AS iso_code, n_name AS iso_3166_2, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS order_amount, count(DISTINCT o_orderkey) AS order_count, 0::BIGINT AS ts
+  FROM t JOIN nation ON n_nationkey = pid WHERE o_orderdate + INTERVAL 1 DAY <= (SELECT max(o_orderdate) - INTERVAL 1 SECOND FROM orders) GROUP BY ALL""")
+def stream_province_sql(spark, sf):
+    info, _ = order_parts(streamed(spark, f"{sf}/orders.parquet"), table(spark, sf, "lineitem"))
+    wide = info.select(F.col("id").alias("order_id"), "province_id", F.col("total_amount").alias("split_total_amount"), "create_time")
+    wide = joins.enrich(wide, dimensions(spark, sf)["province"], "province_id", {"province_name": "NAME", "province_area_code": "AREA_CODE", "province_iso_code": "ISO_CODE", "province_3166_2_code": "ISO_3166_2"})
+    readers.sql_view(wide, "order_wide_stream", text="create_time", delay=jobs.DELAYS["sql"])
+    return doubles(drained(spark.sql(service.province_stats_sql("order_wide_stream", "1 day", streaming=True, as_of="0L"))))
+
+
+@query(KEYWORDS.format(more=", 0::BIGINT AS ts").replace("GROUP BY ALL", "WHERE time_bucket(INTERVAL 10 SECOND, rt) + INTERVAL 10 SECOND <= (SELECT TIMESTAMP '2024-01-01' + to_seconds(max(p_partkey) - 1) FROM part WHERE p_size > 10) GROUP BY ALL"))
+def stream_keyword_sql(spark, sf):
+    tokens.register_split_words(spark)
+    since = F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    page = F.create_map(F.lit("last_page_id"), F.when(F.col("p_size") > 10, "search").otherwise("home"), F.lit("item"), F.col("p_name"))
+    views = streamed(spark, f"{sf}/part.parquet").select(page.alias("page"), (since + 1000 * F.col("p_partkey")).alias("ts"))
+    readers.sql_view(routing.searches(views), "page_view_stream", delay=jobs.DELAYS["sql"])
+    return drained(spark.sql(service.keyword_stats_sql("page_view_stream", as_of="0L")))
+
+
+@query(ORACLES["stream_visitor_stats"])
+def olap_roundtrip_visitor(spark, sf):
+    p = page_stream(spark, sf).withColumns({"vc": F.col("event_type"), "ch": F.lit("web"), "ar": F.lit("x")})
+    started = F.when(scalar.blank(F.col("last_page_id")), 1).otherwise(0)
+    stats = jobs.visitor_stats(service.visitor_rows(p, pv_ct=F.lit(1), sv_ct=started, dur_sum=F.col("k")), "1 hour")
+    folder = work_folder(spark)
+
+    def each(batch, _):  # every row twice, first in an older version
+        sinks.write_olap(batch.withColumns({"pv_ct": F.lit(0).cast("bigint"), "ts": F.col("ts") - 1}), f"{folder}/olap")
+        sinks.write_olap(batch, f"{folder}/olap")
+
+    sinks.stream_batches(stats, f"{folder}/checkpoint", each).awaitTermination()
+    return sinks.read_olap(spark, f"{folder}/olap", "visitor_stats").select("stt", "vc", "is_new", "pv_ct", "sv_ct", "dur_sum", "ts")
+
+
+@query(province_oracle("CAST(l_extendedprice AS DECIMAL(18,2))", "time_bucket(INTERVAL 30 DAY, o_orderdate, TIMESTAMP '1970-01-01')", 30).replace("0::BIGINT AS ts", "2::BIGINT AS ts"))
+def olap_roundtrip_province(spark, sf):
+    folder = work_folder(spark)
+    province_view(spark, sf)
+    stats = doubles(spark.sql(service.province_stats_sql(window="30 days", as_of="0L")))
+    for version in (2, 1):
+        sinks.write_olap(stats.withColumns({"order_count": F.col("order_count") + 2 - version, "ts": F.lit(version).cast("bigint")}), f"{folder}/olap")
+    return sinks.read_olap(spark, f"{folder}/olap", "province_stats").drop("dt")
+
+
+# --- sources and sinks ---
+
+
+@query("SELECT n_nationkey, n_name, CAST(NULL AS VARCHAR) AS missing FROM nation")
+def topic_roundtrip(spark, sf):
+    path = work_folder(spark)
+    nations = readers.table_files(spark, f"{sf}/nation.parquet")
+    sinks.write_topics(sinks.to_topic(nations.where("n_nationkey >= 10"), "high").unionByName(sinks.to_topic(nations.where("n_nationkey < 10"), "low")), path)
+    lines = readers.topic_files(spark, f"{path}/topic=high").unionByName(readers.topic_files(spark, f"{path}/topic=low"))
+    return routing.fail_fast(lines, "n_nationkey BIGINT, n_name STRING, missing STRING")
+
+
+@query(ORACLES["topic_roundtrip"])
+def stream_topic_roundtrip(spark, sf):
+    path = work_folder(spark)
+    nations = sinks.to_topic(streamed(spark, f"{sf}/nation.parquet"), "nation")
+    sinks.stream_topics(nations, f"{path}/checkpoint", f"{path}/topics").awaitTermination()
+    lines = drained(readers.topic_files(spark, f"{path}/topics/topic=nation", stream=True, per_trigger=1))
+    return routing.parsed_rows(lines, "n_nationkey BIGINT, n_name STRING, missing STRING")
+
+
+@query("SELECT 'a' AS name, 1 AS n UNION ALL SELECT 'b,c', NULL")
+def csv_elements(spark, sf):
+    return readers.csv_fields(readers.elements(spark, [("a,1",), ('"b,c",',)], "value STRING"), "name STRING, n INT")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS number FROM events")
+def day_parts(spark, sf):
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").select("event_id", scalar.day_text(F.unix_millis(at)).alias("day"), scalar.day_number(at).alias("number"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, 'x' AS extra, CAST(NULL AS VARCHAR) AS name FROM nation")
+def map_put_drop(spark, sf):
+    entry = F.create_map(F.lit("id"), F.col("n_nationkey").cast("string"), F.lit("name"), F.col("n_name"), F.lit("extra"), F.lit("old"))
+    changed = scalar.drop(scalar.put(entry, "extra", F.lit("x")), "name")
+    return table(spark, sf, "nation").select(*[changed[k].alias(k) for k in ("id", "extra", "name")])
+
+
+@query("SELECT n_nationkey AS nNationkey, n_name AS nName FROM nation")
+def camel_names(spark, sf):
+    return scalar.with_camel_names(table(spark, sf, "nation").select("n_nationkey", "n_name"))
+
+
+@query("SELECT 'lidaosl' AS word, 1::BIGINT AS n UNION ALL SELECT '中华', 2 UNION ALL SELECT '中华人民', 2 UNION ALL SELECT '华人', 2 UNION ALL SELECT '人民', 2 UNION ALL SELECT '的', 2")
+def cjk_keywords(spark, sf):
+    known = ["中华", "中华人民", "华人", "人民"]
+    rows = readers.elements(spark, [("Lidaosl 中华人民的",)], "text STRING")
+    both = rows.select(F.explode(tokens.words(F.col("text"), known)).alias("word")).unionByName(rows.select(F.explode(tokens.words(F.regexp_replace("text", "[A-Za-z]", ""), [*known, *(f"词{i}" for i in range(tokens.INLINE))])).alias("word")))
+    return both.groupBy("word").agg(F.count(F.lit(1)).alias("n"))

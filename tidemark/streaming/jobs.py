@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from .. import schemas
 from ..functions.scalar import event_time
 from ..operators.joins import interval_join
-from ..plans import service
+from ..plans import middle, service
+from ..plans.detail import database_changes
+from ..sources.sinks import stream_batches
 
 #: How late records of each stream may be. Bounces come 10 s late and keep their time, hence the 11 s of visitors.
 DELAYS = {"order": "1 millisecond", "payment": "1 millisecond", "bounce": "1 second", "bounce_late": "2 seconds", "sql": "1 second", "product": "2 seconds", "visitor": "11 seconds"}
@@ -24,7 +30,30 @@ def timed_by_text(df: DataFrame, text: str, delay: str, fallback: str | None = N
 
 
 def joined(left: DataFrame, right: DataFrame, on: dict[str, str], left_time: str, right_time: str, low: str, high: str, delay: str = DELAYS["order"]) -> DataFrame:
-    return interval_join(left.withWatermark(left_time, delay), right.withWatermark(right_time, delay), on, left_time, right_time, low, high)
+    return interval_join(left, right, on, left_time, right_time, low, high, delay)
+
+
+def order_wide(info: DataFrame, detail: DataFrame, dims: Mapping[str, DataFrame], as_of: Column, bounds: tuple[str, str] = middle.ORDER_BOUNDS, delay: str = DELAYS["order"]) -> DataFrame:
+    """Wide orders from two streams, with dimensions that are looked up as they are at each micro-batch."""
+    met = middle.order_wide(info, detail, bounds, delay)
+    return middle.with_order_dimensions(met.select("*", *[F.lit(None).cast("string").alias(c) for c in schemas.ORDER_WIDE if c not in met.columns]), dims, as_of)
+
+
+def payment_wide(payment: DataFrame, wide: DataFrame, bounds: tuple[str, str] = middle.PAYMENT_BOUNDS, fallback: str | None = None) -> DataFrame:
+    return middle.payment_wide(payment, wide, bounds, DELAYS["payment"], fallback)
+
+
+def route(changes: DataFrame, routes: Callable[[], DataFrame], checkpoint: str, facts: Callable[[DataFrame, int], None], dims: Callable[[DataFrame, int], None], once: bool = True) -> StreamingQuery:
+    """Deals a stream of changes out. ``routes`` is asked at every micro-batch, so that changes are routed by the configuration as of their arrival. ``facts`` and ``dims`` get what is dealt out and the batch's number."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        dealt = database_changes(batch, routes())
+        facts(dealt.facts, number)
+        dims(dealt.dims, number)
+        batch.unpersist()
+
+    return stream_batches(changes, checkpoint, each, once)
 
 
 def visitor_stats(rows: DataFrame, window: str = service.WINDOW) -> DataFrame:
