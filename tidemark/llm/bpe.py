@@ -109,15 +109,16 @@ class ForcedBoundaryBPE:
 
     def _short(self, raw: bytes) -> list[int]:
         """Ids of a fragment: the pair of least rank, the leftmost of its kind, is joined until none is left."""
-        ids, rank = [self.bytes[b] for b in raw], self.rank.get
+        first, rank, results = self.bytes, self.rank.get, self.results
+        ids = [first[b] for b in raw]
         ranks = [rank(p, NONE) for p in zip(ids, ids[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == NONE:
                 break
             i = ranks.index(least)
-            ids[i : i + 2] = [self.results[least]]
-            del ranks[i]
+            ids[i] = results[least]
+            del ids[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = rank((ids[i - 1], ids[i]), NONE)
             if i < len(ranks):
