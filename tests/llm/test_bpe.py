@@ -52,6 +52,17 @@ def test_long_fragments(tokenizer, monkeypatch):
     assert [ids_of(x) for x in codec.encode_batch([t.encode() for t in long_texts()])] == want
 
 
+def test_generations_of_the_cache(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    library = Tokenizer.from_file(tokenizer)
+    codec = bpe.ForcedBoundaryBPE(open(tokenizer, encoding="utf-8").read())
+    r = random.Random(6)
+    for _ in range(30):
+        texts = ["".join(r.choices([*PIECES, " the", " of, "], k=30)) for _ in range(4)]
+        assert [ids_of(x) for x in codec.encode_batch([t.encode() for t in texts])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(codec.known) + len(codec.older) < 1000
+
+
 def test_a_million_without_a_cut(tokenizer):
     codec = bpe.ForcedBoundaryBPE(open(tokenizer, encoding="utf-8").read())
     spaces = b" " * 1_200_000

@@ -41,8 +41,8 @@ SPACES = b"\t\n\x0b\x0c\r "
 #: Last bytes of the characters above ASCII that count as white space, each with what precedes it.
 WIDE_SPACES = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 #: Stretches, and fragments of them, whose ids a worker keeps (a fragment that is a whole
-#: stretch elsewhere has the same ids there); longer ones are not kept.
-CACHE = 200_000
+#: stretch elsewhere has the same ids there), in each of two generations; longer ones are not kept.
+CACHE = 150_000
 CACHED_BYTES = 64
 #: Fragments of more bytes are merged rank by rank.
 LONG = 200
@@ -83,7 +83,9 @@ class ForcedBoundaryBPE:
         self.pieces = regex.compile(PATTERN).findall
         self._merges(spec["model"], [symbol_ for symbol_, _ in sorted(symbol.items(), key=lambda x: x[1])], size)
         self.specials = re.compile(b"|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        #: What was met since the last change of generations, and what before.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _merges(self, model: dict, symbols: list[str], size: int) -> None:
         vocab = model["vocab"]
@@ -92,6 +94,11 @@ class ForcedBoundaryBPE:
         self.left, self.right, self.result = (np.array([vocab[t] for t in column], dtype=np.int32) for column in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         self.rank = {pair: k for k, pair in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True))}
         self.results, self.bytes = self.result.tolist(), self.byte.tolist()
+        #: Of each token the ranks of its pairs by the token on the right; of each two bytes the rank of theirs.
+        self.after: list[dict[int, int]] = [{} for _ in range(size)]
+        for (a, b), k in self.rank.items():
+            self.after[a][b] = k
+        self.of_bytes = [self.after[a].get(b, NONE) for a in self.bytes for b in self.bytes]
         codes = self.left.astype(np.int64) * size + self.right
         order = np.argsort(codes, kind="stable")
         self.codes, self.code_rank, self.size = codes[order], order.astype(np.int32), size
@@ -109,20 +116,20 @@ class ForcedBoundaryBPE:
 
     def _short(self, raw: bytes) -> list[int]:
         """Ids of a fragment: the pair of least rank, the leftmost of its kind, is joined until none is left."""
-        first, rank, results = self.bytes, self.rank.get, self.results
+        first, after, results, of_bytes = self.bytes, self.after, self.results, self.of_bytes
         ids = [first[b] for b in raw]
-        ranks = [rank(p, NONE) for p in zip(ids, ids[1:], strict=False)]
+        ranks = [of_bytes[a << 8 | b] for a, b in zip(raw, raw[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == NONE:
                 break
             i = ranks.index(least)
-            ids[i] = results[least]
+            made = ids[i] = results[least]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank((ids[i - 1], ids[i]), NONE)
+                ranks[i - 1] = after[ids[i - 1]].get(made, NONE)
             if i < len(ranks):
-                ranks[i] = rank((ids[i], ids[i + 1]), NONE)
+                ranks[i] = after[made].get(ids[i + 1], NONE)
         return ids
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -175,7 +182,7 @@ class ForcedBoundaryBPE:
         return ids[ids >= 0]
 
     def _fragment(self, raw: bytes) -> bytes:
-        ids = self.known.get(raw)
+        ids = self.known.get(raw) or self.older.get(raw)
         if ids is None:
             if len(raw) > LONG and self.ordered:
                 return self._long(raw).astype("<u4").tobytes()
@@ -213,10 +220,15 @@ class ForcedBoundaryBPE:
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self._split(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        missing = {f for parts in split for f in parts if f not in known}
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = set()
+        for f in {f for parts in split for f in parts if f not in known}:
+            if f in older:
+                known[f] = older[f]
+            else:
+                missing.add(f)
         extra: dict[bytes, bytes] = {f: struct.pack("<I", self.special[f]) for f in missing if f in self.special}
         if missing := list(missing.difference(extra)):
             for f, ids in self._learn(missing).items():
