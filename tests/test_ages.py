@@ -43,3 +43,7 @@ def test_age_is_cut_towards_zero(spark):
 
 def test_age_years(spark, spread):
     same_rows(spark, spread, "age_years", "age")
+
+
+def test_order_wide_chain(spark, spread):
+    same_rows(spark, spread, "order_wide_chain", "user_age")
