@@ -47,3 +47,7 @@ def test_age_years(spark, spread):
 
 def test_order_wide_chain(spark, spread):
     same_rows(spark, spread, "order_wide_chain", "user_age")
+
+
+def test_stream_order_wide(spark, spread):
+    same_rows(spark, spread, "stream_order_wide", "user_age")
