@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, common, hashing
 
 PIECES = ["a", " ", "  ", "\n", "\t", "'s", "\xa0", "à", "é", "　", " ", "12", ".", "<|endoftext|>", "\x1c", "\x85", "don't", "!'s", "日本", "\r\n", "à ", "🙂", "ʼn", "x" * 300]
 
@@ -82,3 +82,24 @@ def test_frames(spark, docs, tokenizer):
     assert sorted((r.text or "", r.decoded) for r in out.collect()) == sorted((t or "", t or "") for _, t in rows)
     odd = docs(rows).withColumnRenamed("lang", "a.b").withColumnRenamed("source", "__source")
     assert sorted(r.n for r in bpe.encode(odd, tokenizer).selectExpr("octet_length(ids) AS n").collect()) == sorted(4 * n for _, n, *_ in want)
+
+
+def test_one_worker_for_a_task(docs, tokenizer):
+    """Two steps of Python in one plan are two processes for each task, with a vocabulary and caches in both."""
+    out = bpe.digests(docs([(1, "some words")]), tokenizer)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    both = bpe.round_trip(docs([(1, "some  words"), (2, None)]), tokenizer)
+    apart = bpe.decode(bpe.encode(docs([(1, "some  words"), (2, None)]), tokenizer), tokenizer)
+    assert both.columns == apart.columns and sorted(both.collect()) == sorted(apart.collect())
+
+
+def test_other_work_gives_the_codec_back(tokenizer):
+    codec = bpe._codec(open(tokenizer, encoding="utf-8").read())
+    assert bpe._codec(open(tokenizer, encoding="utf-8").read()) is codec
+    common.keeps("shingles", hashing.forget)
+    assert not bpe._built
+    hashing.shingles([b"a b c"], 2)
+    assert hashing._digests
+    bpe._codec(open(tokenizer, encoding="utf-8").read())
+    assert not hashing._digests and bpe._built

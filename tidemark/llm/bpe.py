@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import computed, named, table
+from .common import computed, keeps, named, table
 
 #: Fixed value: the pattern by which byte-level BPE splits text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -261,7 +261,8 @@ _built: dict[int, ForcedBoundaryBPE] = {}
 
 
 def _codec(tokenizer_json: str) -> ForcedBoundaryBPE:
-    """One for each worker process and vocabulary."""
+    """One for each worker process and vocabulary, until the worker does something else."""
+    keeps("bpe", _built.clear)
     key = hash(tokenizer_json)
     if key not in _built:
         _built.clear()
@@ -269,33 +270,49 @@ def _codec(tokenizer_json: str) -> ForcedBoundaryBPE:
     return _built[key]
 
 
-def _mapped(df: DataFrame, source: str, target: T.StructField, tokenizer_path: str, work) -> DataFrame:
+def _mapped(df: DataFrame, source: str, targets: list[T.StructField], tokenizer_path: str, work) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
 
     def begin():
         codec = _codec(shared.value)
-        return lambda rows, known: [work(codec, rows)]
+        return lambda rows, known: work(codec, rows)
 
-    return computed(df, named(source), [target], begin)
+    return computed(df, named(source), targets, begin)
+
+
+def _encoded(codec: ForcedBoundaryBPE, rows: list[bytes]) -> pa.Array:
+    return pa.array(codec.encode_batch(rows), pa.binary())
+
+
+def _decoded(codec: ForcedBoundaryBPE, ids: list[bytes]) -> pa.Array:
+    return pa.array([codec.decode(r) for r in ids], pa.binary()).cast(pa.string())
 
 
 def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds binary column ``ids``: the text's ids as little-endian unsigned 32-bit integers. Replaces a column of that name."""
-    return _mapped(df, text, T.StructField(ids, T.BinaryType()), tokenizer_path, lambda codec, rows: pa.array(codec.encode_batch(rows), pa.binary()))
+    return _mapped(df, text, [T.StructField(ids, T.BinaryType())], tokenizer_path, lambda codec, rows: [_encoded(codec, rows)])
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds string column ``text``: what the ids decode to. Replaces a column of that name."""
-    decoded = lambda codec, rows: pa.array([codec.decode(r) for r in rows], pa.binary()).cast(pa.string())
-    return _mapped(df, ids, T.StructField(text, T.StringType()), tokenizer_path, decoded)
+    return _mapped(df, ids, [T.StructField(text, T.StringType())], tokenizer_path, lambda codec, rows: [_decoded(codec, rows)])
+
+
+def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Adds what ``encode`` adds, and as ``decoded`` what ``decode`` makes of it. One worker process for a task does both; in two steps a task has two, each with a codec of its own."""
+
+    def both(codec: ForcedBoundaryBPE, rows: list[bytes]) -> list[pa.Array]:
+        made = codec.encode_batch(rows)
+        return [pa.array(made, pa.binary()), _decoded(codec, made)]
+
+    return _mapped(df, text, [T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())], tokenizer_path, both)
 
 
 def digests(df: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, ids, ids_sha256 and decoded_sha256 of every row's whole text."""
     held = [named(c) for c in keep]
-    ids = encode(df.select(*held, named("text").alias("__text")), tokenizer_path, "__text", "__ids").select(*held, "__ids")
-    both = decode(ids, tokenizer_path, "__ids", "__decoded")
+    both = round_trip(df.select(*held, named("text").alias("__text")), tokenizer_path, "__text", "__ids", "__decoded")
     return both.select(
         *held,
         (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),

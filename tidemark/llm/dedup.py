@@ -51,8 +51,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import computed, cut, fresh, named, row_key, small_side, table
-from .hashing import mix, shingles
+from .common import computed, cut, fresh, keeps, named, row_key, small_side, table
+from .hashing import forget, mix, shingles
 
 SKETCH = 64
 SIMILAR = 0.8
@@ -99,6 +99,8 @@ def with_sets(df: DataFrame, text: str, words: int, what: str) -> DataFrame:
     added = [T.StructField(c, T.LongType()) for c in ("__a", "__b", "__n")] + [T.StructField(c, longs) for c in {"sketch": ["__sketch"], "set": ["__set", "__bits"]}[what]]
 
     def begin():
+        keeps("shingles", forget)
+
         def work(texts: list[bytes], known: list[bool]) -> list[pa.Array]:
             both = shingles(texts, words)
             ids = [_identity(*s) for s in both]

@@ -77,6 +77,8 @@ class Digests(dict):
 
 
 _digests = Digests()
+#: Gives the digests back.
+forget = _digests.clear
 _LOWER = LOWER.tobytes()
 
 
